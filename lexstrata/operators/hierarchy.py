@@ -188,8 +188,8 @@ def peel_order(edges: DataFrame, child: str = "child", parent: str = "parent", l
         more = peel_order(rest, local_edges=local_edges)
         peeled.append(more.select("node", (F.col("level") + level).alias("level"), "on_cycle"))
     else:
-        core = left.select("child", "parent").union(loose).withColumn("start", F.lit(level))
-        peeled.append(core.groupBy(F.lit(0)).applyInPandas(_finish, "node string, level int, on_cycle boolean"))
+        core = left.select("child", "parent").union(loose).withColumns({"start": F.lit(level), "one": F.lit(0)})
+        peeled.append(core.groupBy("one").applyInPandas(_finish, "node string, level int, on_cycle boolean"))
     out = peeled[0]
     for p in peeled[1:]:
         out = out.unionByName(p)
@@ -229,7 +229,7 @@ def hierarchy(edges: DataFrame, child: str = "child", parent: str = "parent", lo
         cut -= 1
         total += per_level.get(cut, 0)
     core = plain.filter(F.col("level") >= cut).join(ups, "node", "left")
-    done = core.select("node", "level", "parent").groupBy(F.lit(0)).applyInPandas(_assign, "node string, path array<string>")
+    done = core.select("node", "level", "parent", F.lit(0).alias("one")).groupBy("one").applyInPandas(_assign, "node string, path array<string>")
     for lv in range(cut - 1, -1, -1):
         done = materialise(done)
         here = plain.filter(F.col("level") == lv).select("node")

@@ -55,8 +55,8 @@ def changes(df: DataFrame, snapshot: str, keys: list[str], content: str, loaded:
         F.xxhash64(F.lit(2), content, F.col(content).isNull()).alias("h2"),
         F.struct(F.col(loaded).alias("at"), F.col(tie).alias("tie")).alias("w"),
     ).na.drop(subset=["snap", *names])
-    # One shuffle by key brings all snapshots of a key together; a key has few rows, so no key is hot.
-    latest = rows.repartition(*names).groupBy("snap", *names).agg(F.max_by(F.struct("h1", "h2"), "w").alias("h")).select("snap", *names, "h.h1", "h.h2", F.xxhash64(*names).alias("kh"))
+    # Redeliveries of a hot key shrink before the shuffle; then a key has at most one row a snapshot.
+    latest = rows.groupBy("snap", *names).agg(F.max_by(F.struct("h1", "h2"), "w").alias("h")).select("snap", *names, "h.h1", "h.h2", F.xxhash64(*names).alias("kh")).repartition(*names)
     snaps = [r[0] for r in df.select(F.col(snapshot).cast("int")).na.drop().distinct().sort(snapshot).collect()]  # one value a snapshot
     following = dict(zip(snaps, snaps[1:]))
     schema = pa.schema([("snap", pa.int32()), *[(n, pa.string()) for n in names], ("side", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())])
