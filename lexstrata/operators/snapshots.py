@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: A chunk holds as many rows as this on average.
-CHUNK_ROWS = 16
+CHUNK_ROWS = 8
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
