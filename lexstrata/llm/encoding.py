@@ -15,6 +15,7 @@ one by one, repeated ids and texts too.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -29,11 +30,16 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 WINDOW, MASK = 8, 511  # a chunk has 512 characters on average
 #: Ids kept by a task for reuse; beyond that it starts anew, which changes speed only.
 CACHED_IDS = 8_000_000
+CACHED_WORDS = 500_000
+#: A space or line feed after any other character but white space always starts a new word of PATTERN.
+_WORDS = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+_OTHER_SPACE = re.compile(r"[^\S \n]")
 BATCH_CHARS = 2_000_000
 
 
-class Encoder:
-    """The tokenizer of one Python worker."""
+class Encoder(dict):
+    """The tokenizer of one Python worker; as a mapping, ids of words already met. Ids travel as bytes, four each, so that
+    they are joined without touching single numbers."""
 
     def __init__(self, folder: str, name: str):
         import tiktoken
@@ -44,11 +50,9 @@ class Encoder:
         self._bpe = tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self._slow = None
 
-    def __call__(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.int32)
+    def whole(self, text: str) -> bytes:
         try:
-            return np.array(self._bpe.encode_ordinary(text), np.int32)
+            return np.array(self._bpe.encode_ordinary(text), np.int32).tobytes()
         except (KeyboardInterrupt, SystemExit, MemoryError):
             raise
         except BaseException:  # the pattern engine gives up on huge runs of white space; the other library has no such bound
@@ -57,7 +61,21 @@ class Encoder:
 
                 self._slow = Tokenizer.from_file(f"{self._path}.json")
                 self._slow.encode_special_tokens = True
-            return np.array(self._slow.encode(text, add_special_tokens=False).ids, np.int32)
+            return np.array(self._slow.encode(text, add_special_tokens=False).ids, np.int32).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.whole(word)
+        if len(word) <= 40:
+            if len(self) >= CACHED_WORDS:
+                self.clear()
+            self[word] = ids
+        return ids
+
+    def __call__(self, text: str) -> bytes:
+        """Where no other white space than spaces and line feeds occurs, words can be told apart without the pattern."""
+        if _OTHER_SPACE.search(text):
+            return self.whole(text)
+        return b"".join(map(self.__getitem__, _WORDS.findall(text)))
 
 
 @cache
@@ -103,9 +121,9 @@ class ChunkEncoder:
     """Encodes texts by chunks and remembers what it has encoded."""
 
     def __init__(self, encode: Encoder):
-        self.encode, self.chunks, self.joins, self.held = encode, {}, {}, 0
+        self.encode, self.chunks, self.held = encode, {}, 0
 
-    def _chunk(self, chunk: str) -> tuple[str, np.ndarray, str] | None:
+    def _chunk(self, chunk: str) -> tuple[str, bytes, str] | None:
         """What comes before the inner part, its ids, what comes after; None without an inner part."""
         got = self.chunks.get(chunk, False)
         if got is False:
@@ -113,21 +131,12 @@ class ChunkEncoder:
             z = _firm(chunk, True) if a > 0 else -1
             got = None if a < 0 else (chunk[:a], self.encode(chunk[a:z]), chunk[z:])
             if self.held > CACHED_IDS:
-                self.chunks, self.joins, self.held = {}, {}, 0
+                self.chunks, self.held = {}, 0
             self.chunks[chunk] = got
             self.held += len(chunk) // 2
         return got
 
-    def _join(self, text: str) -> np.ndarray:
-        got = self.joins.get(text)
-        if got is None:
-            got = self.encode(text)
-            if len(text) < 64:
-                self.joins[text] = got
-                self.held += 16
-        return got
-
-    def parts(self, text: str, ends: np.ndarray) -> list[np.ndarray]:
+    def ids(self, text: str, ends: np.ndarray) -> bytes:
         out, open_join, a = [], [], 0
         for z in ends.tolist():
             got = self._chunk(text[a:z])
@@ -135,11 +144,11 @@ class ChunkEncoder:
                 open_join.append(text[a:z])
             else:
                 open_join.append(got[0])
-                out += [self._join("".join(open_join)), got[1]]
+                out += [self.encode("".join(open_join)), got[1]]
                 open_join = [got[2]]
             a = z
-        out.append(self._join("".join(open_join)))
-        return out
+        out.append(self.encode("".join(open_join)))
+        return b"".join(out)
 
 
 def _runs(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
@@ -170,16 +179,16 @@ def encode(df: DataFrame, doc_id: str, text: str, out: str = "ids", name: str =
                 for i, (t, ends) in enumerate(zip(some, chunk_ends(some))):
                     own = seen.get(t)  # copies in the batch share their parts
                     if own is None:
-                        own = seen[t] = chunked.parts(t, ends)
-                    sizes[i] = sum(map(len, own))
+                        own = seen[t] = chunked.ids(t, ends)
+                    sizes[i] = len(own) // 4
                     if not counts:
-                        parts += own
+                        parts.append(own)
                 if counts:
                     made = pa.array(sizes)
                 else:
                     offsets = np.zeros(len(some) + 1, np.int32)
                     np.cumsum(sizes, out=offsets[1:])
-                    made = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts)))
+                    made = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), np.int32)))
                 rest = [batch.column(i).slice(a, z - a) for i in range(batch.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays([*rest, made], names=[*batch.schema.names[:-1], column.name])
 
