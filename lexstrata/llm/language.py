@@ -188,15 +188,10 @@ def train(df: DataFrame, doc_id: str, text: str, label: str, sample_docs: int =
     ids = df.sparkSession.createDataFrame(picked.collect(), "id bigint, lang string")  # at most 8 * sample_docs rows
     texts = df.select(F.col(doc_id).alias("id"), F.substring(F.col(text), 1, SAMPLE_CHARS).alias("t")).filter("t is not null")
     rows = texts.join(F.broadcast(ids), "id").select("t", "lang").collect()
-    lines, labels = [], []
-    for t, lang in sorted(map(tuple, rows)):
-        some = [x for x in _lines(t) if len(x) >= 30]
-        if some:
-            for x, ok in zip(some, _worded(some)):
-                if ok:
-                    lines.append(x)
-                    labels.append(LANGS.index(lang))
-    return fit(lines, labels)
+    found = [(x, LANGS.index(lang)) for t, lang in sorted(map(tuple, rows)) for x in _lines(t) if len(x) >= 30]
+    good = _worded([x for x, _ in found]) if found else []  # all lines at once: the patterns are costly to compile
+    found = [pair for pair, ok in zip(found, good) if ok]
+    return fit([x for x, _ in found], [y for _, y in found])
 
 
 def line_languages(df: DataFrame, doc_id: str, text: str, model: Model, min_chars: int = MIN_CHARS) -> DataFrame:
