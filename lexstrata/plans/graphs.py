@@ -209,7 +209,7 @@ def structure_drift(spark: SparkSession, d: str) -> DataFrame:
 
 def healed_drift(spark: SparkSession, d: str) -> DataFrame:
     at = F.lit("1997-06-01").cast("date")
-    log = _log(spark, d)
+    log = _log(spark, d).filter(F.col("day") <= at)
     expected = table(spark, d, "orders").groupBy(F.concat(F.lit("o"), (F.col("o_orderkey") % 5000).cast("string")).alias("child")).agg(F.min(F.concat(F.lit("c"), (F.col("o_custkey") % 40).cast("string"))).alias("parent"))
     now = T.membership(log, at)
     bad = T.membership_conflicts(log, at).select("child").distinct()
@@ -351,4 +351,128 @@ QUERIES = {f.__name__: f for f in (
     registry_bindings, write_set_counts, registry_missing_ends, registry_untraced, registry_contradictions, registry_unchecked, registry_superseded, registry_evidence, registry_buckets,
     registry_matrix, registry_surfaces, registry_coverage, extractor_scores, conformance_rollup, status_rollup, chain_check, replay_outcomes, intake_attempts,
 )}
-ORACLES: dict[str, str] = {}
+
+# The same results in SQL -----------------------------------------------------------------------------------------
+_WS = "chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||' '||chr(160)||chr(8195)||chr(8201)||chr(8239)||chr(12288)"
+
+
+def _tid(c: str) -> str:
+    return f"nullif(upper(trim({c}, {_WS})), '')"
+
+
+def _first(c: str, what: int) -> str:
+    return "CASE " + " ".join(f"WHEN contains(lower(coalesce({c}, '')), '{r[1].lower()}') THEN " + (f"'{r[0]}'" if what == 0 else str(r[2])) for r in V.LINK_RULES) + (" ELSE 'unknown' END" if what == 0 else " ELSE 0.1 END")
+
+
+def _scored() -> str:
+    low, cols, names = "lower(coalesce(context_sample, ''))", [], []
+    for name, _, confidence, match, needles, variants in V.LINK_TEMPLATES:
+        signals = [f"contains({low}, '{n.lower()}')" for n in needles] + (["(" + " OR ".join(f"contains({low}, '{v.lower()}')" for v in variants) + ")"] if variants else [])
+        hits = " + ".join(f"{x}::int" for x in signals)
+        cols.append((f"CASE WHEN {hits} = {len(signals)} THEN {confidence} ELSE 0 END" if match == "all" else f"({hits}) / {len(signals)}::double * {confidence}") + f" AS {name}")
+        names.append(name)
+    best = f"greatest(0.1, {', '.join(names)})"
+    kind = "CASE WHEN " + best + " = 0.1 THEN 'unknown' " + " ".join(f"WHEN {t[0]} = {best} THEN '{t[1]}'" for t in V.LINK_TEMPLATES) + " END"
+    return f"SELECT obs_id, {kind} AS kind, round({best}::double, 9) AS confidence, round({best}::double * 1.0, 9) AS boosted FROM (SELECT obs_id, {', '.join(cols)} FROM observations)"
+
+
+def _ranked(fields: dict[str, str], needles, source: str, key: str, conflicts: bool) -> str:
+    rows = ", ".join(f"('{g}', '{f}', '{n.lower()}', {r})" for g, f, n, r in needles if f in fields)
+    value = "CASE f " + " ".join(f"WHEN '{f}' THEN lower(coalesce({c}, ''))" for f, c in fields.items()) + " END"
+    extra = ", CASE WHEN len(vs) > 1 THEN array_to_string(list_sort(vs), ',') ELSE '' END AS conflicts" if conflicts else ""
+    return f"""WITH n(g, f, x, r) AS (VALUES {rows}), h AS (SELECT s.{key}, g, r FROM {source} s, n WHERE contains({value}, x)),
+      b AS (SELECT {key}, list(DISTINCT g) AS vs FROM h WHERE r = (SELECT min(r) FROM h k WHERE k.{key} = h.{key}) GROUP BY 1)
+      SELECT s.{key}, CASE WHEN vs IS NULL THEN 'unknown' WHEN len(vs) > 1 THEN 'conflict' ELSE 'found' END AS outcome, CASE WHEN len(vs) = 1 THEN vs[1] ELSE '' END AS value{extra} FROM {source} s LEFT JOIN b USING ({key})"""
+
+
+_FORCE = f"""WITH f AS (SELECT user_id, ts::date AS day, event_type FROM events WHERE user_id IS NOT NULL AND ts::date <= DATE '{AT}'),
+  l AS (SELECT user_id, min(event_type) AS lo, max(event_type) AS hi FROM f WHERE day = (SELECT max(day) FROM f g WHERE g.user_id = f.user_id) GROUP BY 1),
+  st AS (SELECT user_id, CASE WHEN lo = hi THEN lo ELSE 'unknown' END AS status, CASE WHEN lo = hi THEN 'resolved' ELSE 'conflict' END AS outcome FROM l)"""
+_LOG = """log AS (SELECT CASE WHEN o_orderstatus = 'F' THEN 'detach' ELSE 'attach' END AS kind, 'c' || (o_custkey % 40) AS parent, 'o' || (o_orderkey % 5000) AS child, o_orderdate::date AS day FROM orders WHERE o_orderdate::date <= DATE '1997-06-01'),
+  daily AS (SELECT child, day, min(parent) AS lo, max(parent) AS hi, count(DISTINCT parent) AS k FROM log WHERE kind = 'attach' GROUP BY 1, 2)"""
+_TREE = "WITH e AS (SELECT 'n' || n_nationkey AS child, 'r' || n_regionkey AS parent FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer), roots AS (SELECT DISTINCT parent AS node FROM e WHERE parent NOT IN (SELECT child FROM e))"
+_REFINES = f"(SELECT id, {_tid('from_id')} AS child, {_tid('to_id')} AS parent FROM valid_edges WHERE lower(trim(edge_type, {_WS})) = 'refines' AND id IS NOT NULL AND {_tid('from_id')} IS NOT NULL AND {_tid('to_id')} IS NOT NULL)"
+_ITEMS = f"items AS (SELECT * FROM (SELECT *, {_tid('id')} AS item_id, row_number() OVER (PARTITION BY {_tid('id')} ORDER BY recorded_at DESC NULLS LAST, id DESC, title DESC NULLS LAST) AS rn FROM valid_items) WHERE rn = 1 AND item_id IS NOT NULL)"
+_EDGES = f"edges AS (SELECT id AS edge_id, {_tid('from_id')} AS from_id, {_tid('to_id')} AS to_id, lower(trim(edge_type, {_WS})) AS edge_type, status FROM valid_edges)"
+_MK = f"(SELECT work_id, marker_level, trim(number, {_WS}) AS number, edition_number, marker_id FROM marker_bodies WHERE number IS NOT NULL AND work_id IS NOT NULL)"
+_ART = f"(SELECT *, trim(number, {_WS}) AS n FROM article_texts WHERE number IS NOT NULL AND work_id IS NOT NULL AND edition_number IS NOT NULL)"
+_COS = "list_sum(list_transform(list_zip(embedding, q), lambda x: x[1]::double * x[2]::double))"
+_HITS = f"""q AS (SELECT embedding AS q FROM embeddings WHERE embedding IS NOT NULL ORDER BY vec_id LIMIT 1),
+  hits AS (SELECT vec_id, label, greatest(0, least(1, {_COS} / (sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))) * sqrt(list_sum(list_transform(q, lambda x: x::double * x::double)))))) AS score
+  FROM embeddings, q WHERE embedding IS NOT NULL ORDER BY score DESC, vec_id LIMIT 10)"""
+_GOLD = "gold AS (SELECT DISTINCT lower(trim(lang)[1:2]) AS layer, doc_id FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL), found AS (SELECT DISTINCT CASE WHEN regexp_matches(text, '[а-яА-Я]') THEN 'ru' ELSE 'en' END AS layer, doc_id FROM documents WHERE text IS NOT NULL)"
+_COUNTS = ("amends_count", "cites_count", "implements_count", "unknown_count")
+
+ORACLES: dict[str, str] = {
+    "link_classes": f"SELECT obs_id, {_first('context_sample', 0)} AS kind, ({_first('context_sample', 1)})::double AS confidence FROM observations WHERE obs_id IS NOT NULL",
+    "link_scores": _scored(),
+    "link_edges": f"""SELECT CASE WHEN kind = 'amends' THEN link_text ELSE work_id END AS edge_from, CASE WHEN kind = 'amends' THEN work_id ELSE link_text END AS edge_to, kind, obs_id::varchar AS provenance
+      FROM (SELECT *, {_first('context_sample', 0)} AS kind FROM observations WHERE work_id IS NOT NULL AND link_text IS NOT NULL AND obs_id IS NOT NULL) WHERE kind <> 'unknown'""",
+    "link_observations": "SELECT link_text, count(*) AS n, coalesce(min_by(coalesce(context_sample, chr(0)), obs_id), '') AS first_context, count(DISTINCT work_id) AS n_dests FROM observations WHERE link_text IS NOT NULL GROUP BY link_text",
+    "edition_link_counts": f"SELECT edition_number, count(*) AS n_links, " + ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in ("amends", "cites", "implements", "specifies", "unknown")) + f" FROM (SELECT edition_number, {_first('text', 0)} AS kind FROM article_texts WHERE text IS NOT NULL) GROUP BY 1",
+    "edition_link_deltas": "SELECT edition_number, " + ", ".join(f"coalesce({c} - lag({c}) OVER (ORDER BY edition_number), 0) AS d_{c}" for c in _COUNTS) + " FROM (SELECT edition_number, " + ", ".join(f"max({c}) AS {c}" for c in _COUNTS) + " FROM edition_summaries GROUP BY 1)",
+    "catalog_latest": """WITH e AS (SELECT o_custkey AS s, arg_max(o_orderkey, {'a': coalesce(CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 5 END, 0), 'b': strftime(o_orderdate, '%Y-%m-%d'), 'c': o_orderkey}) AS edition_id FROM orders GROUP BY 1)
+      SELECT 'uri:' || c_custkey AS uri, CASE WHEN c_custkey % 7 = 0 THEN 'missing' WHEN c_custkey % 11 = 0 OR coalesce(trim(c_name), '') = '' THEN 'error: no title' ELSE 'found' END AS outcome,
+      CASE WHEN c_custkey % 7 <> 0 AND c_custkey % 11 <> 0 THEN coalesce(c_name, '') ELSE '' END AS title, coalesce(edition_id, -1) AS edition_id FROM customer LEFT JOIN e ON s = c_custkey""",
+    "catalog_misses": f"SELECT id AS edge_id, coalesce({_tid('to_id')}, '') AS ref, coalesce({_tid('to_id')} IN (SELECT {_tid('id')} FROM valid_items WHERE {_tid('id')} IS NOT NULL), false) AS in_catalog, CASE WHEN {_tid('to_id')} IS NULL THEN 'empty id' ELSE '' END AS error FROM valid_edges",
+    "document_groups": _ranked({"path": "work_id", "kind": "document_group"}, V.GROUP_NEEDLES, "documents", "doc_id", True),
+    "corpus_roles": _ranked({"title": "title"}, V.ROLE_NEEDLES, "article_texts", "article_id", False),
+    "cross_act_edges": f"""SELECT id AS edge_id, CASE WHEN {_tid('from_id')} IS NOT DISTINCT FROM {_tid('to_id')} THEN 'self edge' WHEN coalesce(lower(trim(edge_type, {_WS})), '') NOT IN ({", ".join(f"'{k}'" for k in V.CROSS_ACT_KINDS)}) THEN 'unknown kind'
+      WHEN coalesce(trim(rationale), '') = '' THEN 'missing provenance' ELSE '' END AS error FROM valid_edges""",
+    "vector_topk": f"WITH {_HITS} SELECT vec_id, round(score, 6) AS score, 'vector-store:' || vec_id AS citation, '' AS citation_error FROM hits",
+    "vector_labels": f"WITH {_HITS} SELECT vec_id, coalesce(r_name, '') AS labels FROM hits LEFT JOIN region ON r_regionkey = label % 4",
+    "nodes_by_label": "SELECT vec_id AS id, label FROM embeddings WHERE label = 3",
+    "graph_upserts": "SELECT user_id AS source, day(ts)::int AS target, arg_max(event_type, event_id) AS label FROM events GROUP BY 1, 2",
+    "evidence_answers": """SELECT o_custkey AS request, count(*) AS requested, count(*) FILTER (hit) AS found, CASE WHEN count(*) FILTER (hit) = 0 THEN 'no_answer' WHEN count(*) FILTER (hit) = count(*) THEN 'answered' ELSE 'partial' END AS outcome
+      FROM (SELECT o_custkey, o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') AS hit FROM orders) GROUP BY 1""",
+    "status_as_of": f"{_FORCE} SELECT u.range AS user_id, coalesce(status, 'unknown') AS status, coalesce(outcome, 'unknown') AS outcome FROM range(0, 2000) u LEFT JOIN st ON st.user_id = u.range",
+    "status_at_orders": f"""WITH e AS (SELECT user_id, ts::date AS day, max(event_type) AS v FROM events WHERE event_type IS NOT NULL GROUP BY 1, 2)
+      SELECT c_custkey AS user_id, c_nationkey, coalesce((SELECT arg_max(v, day) FROM e WHERE e.user_id = c_custkey AND day <= DATE '{AT}'), 'unknown') AS status FROM customer""",
+    "text_as_of": f"""WITH a AS (SELECT * FROM {_ART} WHERE edition_number <= 4), t AS (SELECT * FROM (SELECT *, rank() OVER (PARTITION BY work_id, n ORDER BY edition_number DESC) AS r FROM a) WHERE r = 1)
+      SELECT work_id, n AS number, CASE WHEN count(*) = 1 THEN 'resolved' ELSE 'conflict' END AS outcome, md5(CASE WHEN count(*) = 1 THEN coalesce(max(text), '') ELSE '' END) AS text_md5, CAST(CASE WHEN count(*) = 1 THEN 0 ELSE count(*) END AS INT) AS n_texts FROM t GROUP BY 1, 2""",
+    "membership_fold": f"""WITH {_LOG}, l AS (SELECT child, arg_max(lo, day) AS parent, max(day) AS since, bool_or(k > 1) AS bad FROM daily GROUP BY 1)
+      SELECT child, parent FROM l WHERE NOT bad AND NOT EXISTS (SELECT 1 FROM log d WHERE d.kind = 'detach' AND d.child = l.child AND d.parent = l.parent AND d.day >= l.since)""",
+    "membership_conflicts": f"WITH {_LOG} SELECT day, child, k AS n_parents FROM daily WHERE k > 1",
+    "presence_fold": f"""WITH d AS (SELECT user_id % 5 AS expression, user_id % 97 AS component, ts::date AS day, bool_or(event_type = 'view') AS i, bool_or(event_type = 'click') AS x FROM events WHERE event_type IN ('view', 'click') AND ts::date <= DATE '{AT}' GROUP BY 1, 2, 3)
+      SELECT expression, component, CASE WHEN i AND x THEN 'conflict' WHEN i THEN 'included' ELSE 'excluded' END AS outcome FROM (SELECT *, row_number() OVER (PARTITION BY expression, component ORDER BY day DESC) AS r FROM d) WHERE r = 1""",
+    "region_tree": f"{_TREE} SELECT node, '' AS parent, node AS root, 0 AS depth FROM roots UNION ALL SELECT e.child, e.parent, e.parent, 1 FROM e JOIN roots ON roots.node = e.parent UNION ALL SELECT f.child, f.parent, e.parent, 2 FROM e JOIN roots ON roots.node = e.parent JOIN e f ON f.parent = e.child",
+    "region_tree_pruned": "WITH p AS (SELECT * FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_acctbal > 9900) SELECT DISTINCT 'c' || c_custkey AS node, 2 AS depth FROM p UNION SELECT 'n' || n_nationkey, 1 FROM p UNION SELECT 'r' || n_regionkey, 0 FROM p",
+    "status_structure": f"{_FORCE} SELECT 'c' || user_id AS user_id, status, coalesce('n' || c_nationkey, '') AS parent, c_custkey IS NOT NULL AS structural_known FROM st LEFT JOIN customer ON c_custkey = user_id",
+    "clock_anchors": "SELECT c_custkey AS request, CASE WHEN bool_or(event_type = 'purchase') THEN 'resolved' WHEN count(event_id) > 0 THEN 'substitute_rejected' ELSE 'missing_anchor' END AS outcome FROM customer LEFT JOIN events ON user_id = c_custkey GROUP BY 1",
+    "marker_changes": f"""WITH m AS {_MK} SELECT marker_id, 'removed' AS change FROM m a WHERE edition_number = 1 AND NOT EXISTS (SELECT 1 FROM m b WHERE b.edition_number = 2 AND a.work_id = b.work_id AND a.marker_level = b.marker_level AND a.number = b.number)
+      UNION ALL SELECT marker_id, 'added' FROM m a WHERE edition_number = 2 AND NOT EXISTS (SELECT 1 FROM m b WHERE b.edition_number = 1 AND a.work_id = b.work_id AND a.marker_level = b.marker_level AND a.number = b.number)""",
+    "text_changes": f"""WITH f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY edition_number, work_id, n ORDER BY article_id) AS r FROM {_ART}) WHERE r = 1), a AS (SELECT * FROM f WHERE edition_number = 2), b AS (SELECT * FROM f WHERE edition_number = 1)
+      SELECT coalesce(a.work_id, b.work_id) AS work_id, coalesce(a.n, b.n) AS number, CASE WHEN a.work_id IS NULL THEN 'detach' ELSE 'attach' END AS kind FROM a FULL JOIN b ON a.work_id = b.work_id AND a.n = b.n WHERE a.work_id IS NULL OR b.work_id IS NULL OR a.text IS DISTINCT FROM b.text""",
+    "structure_drift": """WITH e AS (SELECT o_custkey AS id FROM orders WHERE o_orderdate < '1996-01-01'), d AS (SELECT DISTINCT id FROM e) SELECT count(*) FILTER (c_custkey IS NULL) AS missing, count(*) FILTER (id IS NULL) AS phantom,
+      count(*) FILTER (c_custkey IS NULL OR id IS NULL) AS drift, (SELECT count(id) FROM e) AS expected FROM d FULL JOIN customer ON c_custkey = id""",
+    "healed_drift": "SELECT 0 AS missing",
+    "forest_roots": f"SELECT DISTINCT parent AS node FROM {_REFINES} WHERE parent NOT IN (SELECT child FROM {_REFINES})",
+    "registry_bindings": f"SELECT work_id, marker_level, trim(number, {_WS}) AS number, CASE WHEN count(DISTINCT coalesce(title, '')) = 1 THEN 'bound' ELSE 'conflict' END AS outcome FROM marker_bodies WHERE work_id IS NOT NULL AND number IS NOT NULL AND marker_level IS NOT NULL GROUP BY ALL",
+    "write_set_counts": f"""WITH a AS (SELECT work_id, work_id || ':' || edition_number AS x, work_id || '/' || trim(number, {_WS}) AS c FROM article_texts WHERE number IS NOT NULL)
+      SELECT 'Work' AS kind, count(DISTINCT work_id) AS n FROM a UNION ALL SELECT 'Expression', count(DISTINCT x) FROM a UNION ALL SELECT 'ComponentConcept', count(DISTINCT c) FROM a
+      UNION ALL SELECT 'expression_of', count(*) FROM a WHERE x IS NOT NULL AND work_id IS NOT NULL UNION ALL SELECT 'component_in_expression', count(*) FROM a WHERE x IS NOT NULL AND c IS NOT NULL""",
+    "registry_missing_ends": f"WITH {_ITEMS}, {_EDGES}, e AS (SELECT edge_id, 'from' AS side, from_id AS ref FROM edges UNION ALL SELECT edge_id, 'to', to_id FROM edges) SELECT * FROM e WHERE ref IS NOT NULL AND ref NOT IN (SELECT item_id FROM items)",
+    "registry_untraced": f"WITH {_ITEMS}, {_EDGES} SELECT item_id, item_type FROM items WHERE item_type IN ({', '.join(repr(t) for t in V.CRITICAL_TYPES)}) AND item_id NOT IN (SELECT from_id FROM edges WHERE from_id IS NOT NULL UNION SELECT to_id FROM edges WHERE to_id IS NOT NULL)",
+    "registry_contradictions": f"WITH {_EDGES} SELECT status, count(*) AS n FROM edges WHERE edge_type = 'contradicts' AND status IN ('active', 'hypothesis', 'bounded-evidence') GROUP BY 1",
+    "registry_unchecked": f"""WITH {_ITEMS}, {_EDGES} SELECT item_id, risk_level FROM items WHERE risk_level IN ('high', 'critical') AND status = 'active' AND item_id NOT IN
+      (SELECT from_id FROM edges WHERE from_id IS NOT NULL AND edge_type IN ({', '.join(repr(t) for t in V.CHECKING_EDGES)}) AND status = 'active' AND to_id IN (SELECT item_id FROM items WHERE item_type IN ('evidence', 'gate', 'proof_gate')))""",
+    "registry_superseded": f"WITH {_ITEMS}, {_EDGES} SELECT item_id FROM items WHERE status = 'superseded' AND item_id NOT IN (SELECT CASE WHEN edge_type = 'supersedes' THEN to_id ELSE from_id END AS x FROM edges WHERE status = 'active' AND edge_type IN ('supersedes', 'superseded_by') AND CASE WHEN edge_type = 'supersedes' THEN to_id ELSE from_id END IS NOT NULL)",
+    "registry_evidence": f"""WITH {_ITEMS} SELECT proof_level, count(*) AS n FROM items WHERE proof_level IN ('unit-test', 'integration-test', 'static-check') AND NOT coalesce(list_has_any(list_transform(source_anchors, lambda a: a.kind),
+      CASE proof_level WHEN 'unit-test' THEN ['test-artifact'] WHEN 'integration-test' THEN ['test-artifact', 'runtime-artifact'] ELSE ['source-code'] END), false) GROUP BY 1""",
+    "registry_buckets": f"WITH {_ITEMS} SELECT CASE risk_level WHEN 'critical' THEN 'P0' WHEN 'high' THEN 'P1' WHEN 'medium' THEN 'P2' ELSE 'P3' END AS bucket, count(*) AS n FROM items GROUP BY 1",
+    "registry_matrix": f"WITH {_ITEMS} SELECT item_type, " + ", ".join(f"count(*) FILTER (status = '{k}') AS n_{k}" for k in ("active", "proposed", "superseded", "rejected", "never")) + " FROM items GROUP BY 1",
+    "registry_surfaces": "SELECT contains(lower(coalesce(summary, '')), 'article') AS in_article, contains(lower(coalesce(summary, '')), 'draft') AS in_draft, count(*) AS n FROM valid_items WHERE id IS NOT NULL GROUP BY 1, 2",
+    "registry_coverage": f"WITH {_ITEMS}, {_EDGES}, t AS (SELECT DISTINCT to_id AS ref FROM edges WHERE to_id IS NOT NULL) SELECT CASE WHEN item_id IS NULL THEN 'undeclared' WHEN ref IS NULL THEN 'uncovered' ELSE 'covered' END AS state, count(*) AS n FROM items FULL JOIN t ON item_id = ref GROUP BY 1",
+    "extractor_scores": f"""WITH {_GOLD}, s AS (SELECT coalesce(g.layer, f.layer) AS layer, count(*) FILTER (g.doc_id IS NOT NULL AND f.doc_id IS NOT NULL) AS tp, count(*) FILTER (g.doc_id IS NULL) AS fp, count(*) FILTER (f.doc_id IS NULL) AS fn
+      FROM gold g FULL JOIN found f ON g.layer = f.layer AND g.doc_id = f.doc_id GROUP BY 1), m AS (SELECT *, CASE WHEN tp + fp = 0 THEN 1.0::double ELSE tp / (tp + fp) END AS p, CASE WHEN tp + fn = 0 THEN 1.0::double ELSE tp / (tp + fn) END AS r FROM s WHERE tp + fn > 0)
+      SELECT layer, tp, fp, fn, round(p, 9) AS precision, round(r, 9) AS recall, round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 9) AS f1 FROM m""",
+    "conformance_rollup": "SELECT l_suppkey, CASE WHEN bool_or(l_quantity > 49.5) THEN 'fail' WHEN bool_or(l_quantity > 48.5) THEN 'unsupported' ELSE 'pass' END AS outcome FROM lineitem GROUP BY 1",
+    "status_rollup": f"WITH {_EDGES}, e AS (SELECT coalesce(edge_type, '') AS t, coalesce(status, '') AS s FROM edges) SELECT CASE WHEN grouping(t) = 1 THEN '*' ELSE t END AS edge_type, CASE WHEN grouping(s) = 1 THEN '*' ELSE s END AS status, count(*) AS n FROM e GROUP BY ROLLUP (t, s)",
+    "chain_check": """WITH e AS (SELECT user_id, event_id, sha256(event_id || '|' || event_type) AS own FROM events), c AS (SELECT *, row_number() OVER w AS seq, lag(own) OVER w AS prev FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+      b AS (SELECT user_id, own, CASE WHEN event_id % 100 = 7 THEN 'x' ELSE prev END AS prev, CASE WHEN event_id % 250 = 9 THEN seq + 1 ELSE seq END AS seq FROM c),
+      v AS (SELECT *, row_number() OVER w AS k, lag(own) OVER w AS h FROM b WINDOW w AS (PARTITION BY user_id ORDER BY seq, own))
+      SELECT 'sequence' AS violation, count(*) AS n FROM v WHERE seq <> k UNION ALL SELECT 'previous', count(*) FROM v WHERE prev IS DISTINCT FROM h""",
+    "replay_outcomes": """WITH r AS (SELECT *, user_id % 30 AS op, CASE WHEN value < 1 THEN 'incomplete' WHEN value > 99 THEN 'corrupt' ELSE '' END AS e FROM events),
+      o AS (SELECT op, CASE WHEN e <> '' THEN e WHEN row_number() OVER (PARTITION BY op, event_type, e ORDER BY event_id) = 1 THEN 'applied' ELSE 'suppressed' END AS outcome FROM r) SELECT op, outcome, count(*) AS n FROM o GROUP BY 1, 2""",
+    "intake_attempts": "SELECT obs_id, CAST(row_number() OVER (PARTITION BY sha256(context_sample) ORDER BY obs_id) AS INT) AS attempt FROM observations WHERE context_sample IS NOT NULL",
+}
