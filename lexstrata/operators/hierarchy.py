@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import materialise, ship
 
 LOCAL_EDGES = 200_000
 
@@ -162,6 +162,7 @@ def _large_cycles(edges: DataFrame) -> DataFrame:
 
 def peel_order(edges: DataFrame, child: str = "child", parent: str = "parent", local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(node, level, on_cycle): the round in which bottom-up peeling removes each node; level -1 on cycles."""
+    ship(edges.sparkSession)
     left = materialise(_distinct_edges(edges, child, parent))
     peeled: list[DataFrame] = []
     loose = left.select(F.lit(None).cast("string").alias("child"), "parent").limit(0)  # nodes whose last child has left
@@ -218,6 +219,7 @@ def _assign(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def hierarchy(edges: DataFrame, child: str = "child", parent: str = "parent", local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(node, parent, root, depth, path, height, on_cycle), one row for each node of ``edges``; see the module text."""
+    ship(edges.sparkSession)
     e = materialise(_distinct_edges(edges, child, parent))
     order = materialise(peel_order(e, local_edges=local_edges))
     plain = order.filter("not on_cycle")

@@ -19,6 +19,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import vocabulary as V
 from ..functions.hashing import fnv1a64
+from ..session import ship
 
 
 @cache
@@ -28,6 +29,7 @@ def _letters() -> np.ndarray:
 
 def tokens(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """(keys, pos, token, start, end): runs of letters in lower case with byte offsets; null and '' give no rows."""
+    ship(df.sparkSession)
     source = df.select(*keys, F.col(text).alias("__t")).filter("__t <> ''")
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]) + ", pos int, token string, start bigint, end bigint"
 
@@ -86,6 +88,7 @@ def sentence_spans(text: str) -> list[tuple[int, int]]:
 
 def sentences(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """(keys, pos, start, end, sentence) with byte offsets."""
+    ship(df.sparkSession)
     source = df.select(*keys, F.col(text).alias("__t")).filter("__t <> ''")
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]) + ", pos int, start bigint, end bigint, sentence string"
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..session import materialise
+from ..session import materialise, ship
 
 
 def propose(markers: DataFrame, doc: list[str], order: str, node: str, rank: Column, ranks: int) -> DataFrame:
@@ -27,6 +27,7 @@ def admit(proposals: DataFrame, doc: str, order: str = "ord") -> DataFrame:
     """(doc, ord, child, parent, outcome): proposals in order; 'self_parent', 'duplicate' (dropped), 'second_parent' and
     'cycle' are set aside, the first parent wins ('admitted'). What depends on no order is decided by windows; only the
     first proposal of each child, one row a child, meets the ordered cycle check of its document."""
+    ship(proposals.sparkSession)
     first = W.partitionBy(doc, "child").orderBy(order)
     p = proposals.withColumn("__self", F.col("child") == F.col("parent"))
     real = p.filter("not __self").withColumns({"__k": F.row_number().over(first), "__p": F.first("parent").over(first)})
@@ -136,6 +137,7 @@ def apply_ops(edges: DataFrame, ops: DataFrame, scope: str) -> DataFrame:
     targets. A repeated op_id or an invalid operation is skipped. renumber and move give the subject's place to the target; split and
     merge drop all edges of the subjects and hang the targets under the parent of the first subject that has one. Order
     decides, so a scope (one act) is one group."""
+    ship(edges.sparkSession)
     schema = f"{scope} {edges.schema[scope].dataType.simpleString()}, child string, parent string"
 
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

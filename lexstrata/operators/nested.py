@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions.structure import OPEN_O, STRING, JsonIndex
 from ..functions.text import WHITE
+from ..session import ship
 
 #: Bytes of text indexed at once: the arrays of a batch take about 60 bytes for each.
 BATCH_BYTES = 2_000_000
@@ -143,6 +144,7 @@ def _slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
 
 def flatten(df: DataFrame, record_id: str, payload: str, name: str, columns: list[str] | None = None) -> DataFrame:
     """One of the flat TABLES of the packets in ``payload``: (record_id, the table's columns). No shuffle."""
+    ship(df.sparkSession)
     fields = {c: t for c, t in TABLES[name].items() if columns is None or c in columns}
     schema = pa.schema([(record_id, pa.int64()), *fields.items()])
 

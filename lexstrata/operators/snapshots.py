@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: A chunk holds as many rows as this on average.
 CHUNK_ROWS = 8
 
@@ -45,6 +47,7 @@ def _digests(keys: np.ndarray, content: np.ndarray, rows: int) -> tuple[np.ndarr
 
 def changes(df: DataFrame, snapshot: str, keys: list[str], content: str, loaded: str, tie: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """(snapshot, *keys, change_kind): 'added', 'removed' or 'changed' against the snapshot before; see the module text."""
+    ship(df.sparkSession)
     if chunk_rows & (chunk_rows - 1):
         raise ValueError("chunk_rows must be a power of two")
     names = [f"k{i}" for i in range(len(keys))]

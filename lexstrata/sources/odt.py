@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 BLOCKS = "doc string, block_ix int, kind string, text string, provider_style_id string, decode_error string"
 TEXT, OFFICE = "urn:oasis:names:tc:opendocument:xmlns:text:1.0", "urn:oasis:names:tc:opendocument:xmlns:office:1.0"
 
@@ -102,6 +104,7 @@ def style(kind: Column, style_id: Column) -> Column:
 
 def blocks(packages: DataFrame, limits: Limits = Limits(), keep_empty: bool = False) -> DataFrame:
     """Blocks of packages (doc, content binary) with their style."""
+    ship(packages.sparkSession)
     names = [c.split()[0] for c in BLOCKS.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -12,6 +12,10 @@ from xml.parsers import expat
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from ..functions.hashing import fnv1a64
+from ..session import ship
 
 BLOCKS = "doc string, block_ix int, text string, provider_style_id string, style string, src_start bigint, src_end bigint, decode_error string"
 STYLES = {**dict.fromkeys(("0", "1", "4", "7", "8"), "BodyText"), "2": "Title", "5": "Title", "3": "TableCell", "6": "JurTerm"}
@@ -73,6 +77,7 @@ def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def blocks(documents: DataFrame) -> DataFrame:
     """Blocks of documents (doc, content binary)."""
+    ship(documents.sparkSession)
     out = documents.select("doc", "content").mapInPandas(_decode, BLOCKS)
     return out.withColumn("style", F.when(F.col("decode_error").isNull(), paragraph_style(F.col("provider_style_id"))))
 
@@ -84,9 +89,5 @@ def read(spark: SparkSession, path: str, glob: str = "*.xml") -> DataFrame:
 
 def candidates(blocks_df: DataFrame) -> DataFrame:
     """Structural blocks as (doc, candidate, anchor, fingerprint), numbered in document order."""
-    from pyspark.sql.window import Window as W
-
-    from ..functions.hashing import fnv1a64
-
     n = F.row_number().over(W.partitionBy("doc").orderBy("block_ix")).cast("string")
     return blocks_df.filter("decode_error is null and style in ('Title', 'BodyText', 'JurTerm')").select("doc", F.concat(F.lit("cand:"), n).alias("candidate"), F.concat(F.lit("anchor:"), n).alias("anchor"), fnv1a64(F.col("text")).alias("fingerprint"))

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..session import ship
+
 
 def suppress_repeats(stream: DataFrame, keys: list[str], at: str, delay: str) -> DataFrame:
     """Each (keys) once within the watermark."""
@@ -21,6 +23,7 @@ def suppress_repeats(stream: DataFrame, keys: list[str], at: str, delay: str) ->
 def running_status(stream: DataFrame, key: str, day: str, status: str) -> DataFrame:
     """(key, day, status, outcome) after each batch: the state of a key is its last day with the statuses seen on it, of
     bounded size; earlier days that arrive late change nothing of the latest answer."""
+    ship(stream.sparkSession)
 
     def fold(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, lo, hi = state.get if state.exists else (None, None, None)
