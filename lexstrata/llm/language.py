@@ -3,8 +3,8 @@
 Method: error-correcting output codes. Each language has a codeword of 15 bits; for each bit one classifier over the
 character n-grams of words predicts it. A line's margins are decoded by loss-weighted distance to the codewords; where two
 codewords are nearly as close, the line is flagged as ambiguous. The classifiers are fitted by smoothed log odds on a
-bounded sample of labelled documents in two rounds: lines that the first round gives another language than their label are
-left out of the second, so wrong labels and foreign lines do no harm.
+bounded sample of labelled documents in rounds: lines that one round gives another language than their label are left out
+of the next, so wrong labels and foreign lines do no harm.
 
 Scores belong to words, and a batch has far fewer distinct words than words: each distinct word is scored once and a line
 adds up its words. Terms and short quotations in another language are outvoted by the sentences around them.
@@ -109,7 +109,9 @@ class Model:
         owner, gram = ngrams(words)
         by = np.argsort(owner, kind="stable")
         starts = np.searchsorted(owner[by], np.arange(len(words)))
-        return np.add.reduceat(self.weights[gram[by]], starts, axis=0)
+        out = np.add.reduceat(self.weights[gram[by]], starts, axis=0)
+        out[[i for i, w in enumerate(words) if not w]] = 0  # what a line without words is split into
+        return out
 
     def margins(self, lines: list[str]) -> np.ndarray:
         """Mean margin of each bit over a line's words; zeros without words."""
@@ -138,11 +140,12 @@ class Model:
         return best, top[:, -1], top[:, -2] > 0.5 * top[:, -1]
 
 
-def _fit_once(lines: list[str], labels: np.ndarray) -> Model:
+def _fit_once(lines: list[str], labels: np.ndarray, seed_weight: float) -> Model:
     code = codewords()
     offsets, index, words = words_of(lines + [s for s in SEEDS.values()])
     labels = np.append(labels, np.arange(len(LANGS)))
-    per_word = np.bincount(index * len(LANGS) + np.repeat(labels, np.diff(offsets)), minlength=len(words) * len(LANGS)).reshape(len(words), -1)
+    weight = np.repeat(np.append(np.ones(len(lines)), np.full(len(LANGS), seed_weight)), np.diff(offsets))
+    per_word = np.bincount(index * len(LANGS) + np.repeat(labels, np.diff(offsets)), weight, len(words) * len(LANGS)).reshape(len(words), -1)
     owner, gram = ngrams(words)
     # Every occurrence of a word counts by its square root: stock phrases don't drown the rest.
     per_word = np.sqrt(per_word)
@@ -158,12 +161,15 @@ def _fit_once(lines: list[str], labels: np.ndarray) -> Model:
 
 
 def fit(lines: list[str], labels: list[int]) -> Model:
+    """Frequent words alone judge first and take out lines that clearly aren't in the language of their label; the model
+    of the rest judges all lines again, and those on which it agrees with the label make the final one."""
     y = np.array(labels, np.int64)
-    model = _fit_once(lines, y)
-    if lines:
-        best, share, unsure = model.decode(model.margins(lines))
-        keep = (best == y) & ~unsure
-        model = _fit_once([x for x, k in zip(lines, keep) if k], y[keep])
+    model = _fit_once([], y[:0], 4.0)
+    for strict in (False, True):
+        if lines:
+            best, _, unsure = model.decode(model.margins(lines))
+            keep = (best == y) & ~unsure if strict else (best == y) | unsure
+            model = _fit_once([x for x, k in zip(lines, keep) if k], y[keep], 4.0)
     return model
 
 
