@@ -26,21 +26,38 @@ def link_kind(dest: Column, scheme: str = "consultantplus://") -> Column:
     return F.when(dest.startswith(scheme), "internal").when(dest.startswith("http"), "external").otherwise("other")
 
 
+def _bound(c: Column, use) -> Column:
+    """``use(c)`` with c computed once a row; as an ordinary expression it would be computed anew for every needle."""
+    return F.transform(F.array(c), use)[0]
+
+
+def _low(c: Column) -> Column:
+    return F.lower(F.coalesce(c, F.lit("")))
+
+
 def classify_first(context: Column, rules: list[tuple[str, str, float]] | None = None) -> tuple[Column, Column]:
     """(kind, confidence) by the first rule in order whose needle occurs in the lower-cased context; else unknown, 0.1.
     A generated CASE, no join."""
-    low, kind, confidence = F.lower(F.coalesce(context, F.lit(""))), F.lit("unknown"), F.lit(0.1)
-    for k, needle, c in reversed(rules or V.LINK_RULES):
-        hit = F.contains(low, F.lit(needle.lower()))
-        kind, confidence = F.when(hit, k).otherwise(kind), F.when(hit, c).otherwise(confidence)
-    return kind, confidence
+    rules = rules or V.LINK_RULES
+
+    def first(low: Column) -> Column:
+        at = F.lit(0)
+        for i in range(len(rules), 0, -1):
+            at = F.when(F.contains(low, F.lit(rules[i - 1][1].lower())), i).otherwise(at)
+        return at
+
+    found = _bound(_low(context), first)
+    return F.element_at(F.array(F.lit("unknown"), *[F.lit(r[0]) for r in rules]), found + 1), F.element_at(F.array(F.lit(0.1), *[F.lit(r[2]) for r in rules]), found + 1)
 
 
 def template_score(context: Column, template: tuple[str, str, float, str, list[str], list[str]]) -> Column:
     """'all': every signal must occur for the full confidence; 'any': confidence times the share of matched signals. The
     morphological variants are one signal."""
+    return _template_score(_low(context), template)
+
+
+def _template_score(low: Column, template: tuple[str, str, float, str, list[str], list[str]]) -> Column:
     _, _, confidence, match, needles, variants = template
-    low = F.lower(F.coalesce(context, F.lit("")))
     signals = [F.contains(low, F.lit(n.lower())) for n in needles]
     if variants:
         one = F.lit(False)
@@ -53,11 +70,12 @@ def template_score(context: Column, template: tuple[str, str, float, str, list[s
 
 def classify_scored(context: Column, templates: list | None = None, baseline: float = 0.1) -> tuple[Column, Column]:
     """(kind, confidence) of the best template; it must beat the baseline strictly and ties keep the earlier one."""
-    kind, best = F.lit("unknown"), F.lit(baseline)
-    for t in templates or V.LINK_TEMPLATES:
-        score = template_score(context, t)
-        kind, best = F.when(score > best, t[1]).otherwise(kind), F.greatest(score, best)
-    return kind, best
+    templates = templates or V.LINK_TEMPLATES
+    # The greatest of (score, -place): the baseline has place 0, so a template must beat it and ties keep the earlier one.
+    scores = _bound(_low(context), lambda low: F.array(*[_template_score(low, t) for t in templates]))
+    ranked = F.transform(scores, lambda x, i: F.struct(x.alias("score"), (-i - 1).alias("place")))
+    best = F.array_max(F.concat(F.array(F.struct(F.lit(float(baseline)).alias("score"), F.lit(0).alias("place"))), ranked))
+    return F.element_at(F.array(F.lit("unknown"), *[F.lit(t[1]) for t in templates]), 1 - best["place"]), best["score"]
 
 
 def profile(path: Column, profiles: list | None = None) -> tuple[Column, Column]:

@@ -63,7 +63,7 @@ def orphans(refs: DataFrame, ref_cols: list[str], targets: DataFrame, target_col
 
 
 def _as_of(refs: DataFrame, targets: DataFrame, on: list[str]) -> DataFrame:
-    """refs (on, __t, others) with ``live`` (a record valid at __t) and ``known`` (one recorded by then)."""
+    """refs (on, __t, others) with ``__live`` (a record valid at __t) and ``__known`` (one recorded by then)."""
     payload = [c for c in refs.columns if c not in on and c != "__t"]
     never = F.lit("0001-01-01").cast("timestamp_ntz")
     empty = F.lit(None).cast(T.StructType([refs.schema[c] for c in payload]))
@@ -81,7 +81,7 @@ def _as_of(refs: DataFrame, targets: DataFrame, on: list[str]) -> DataFrame:
     within = W.partitionBy(*on, "day").orderBy("at", "is_ref").rowsBetween(W.unboundedPreceding, 0)
     swept = events.withColumns({"l1": F.sum("live").over(within), "k1": F.sum("known").over(within)}).filter("is_ref = 1")
     joined = swept.join(carried, [*on, "day"])
-    return joined.select(*[F.col(f"row.`{c}`").alias(c) for c in payload], (F.col("l0") + F.col("l1") > 0).alias("live"), (F.col("k0") + F.col("k1") > 0).alias("known"))
+    return joined.select(*[F.col(f"row.`{c}`").alias(c) for c in payload], (F.col("l0") + F.col("l1") > 0).alias("__live"), (F.col("k0") + F.col("k1") > 0).alias("__known"))
 
 
 def orphans_as_of(
@@ -106,7 +106,7 @@ def orphans_as_of(
             keys = t.select(*on).na.drop().distinct()
             missing = part.join(keys, on, "left_anti").select(*keep, F.lit("missing").alias("kind"))
             held = part.join(keys, on, "left_semi").select(*on, "__t", *keep)
-            state = _as_of(held, t.na.drop(subset=on), on).filter("not live")
-            found = missing.unionByName(state.select(*keep, F.when(F.col("known"), "deleted").otherwise("late").alias("kind")))
+            state = _as_of(held, t.na.drop(subset=on), on).filter("not __live")
+            found = missing.unionByName(state.select(*keep, F.when(F.col("__known"), "deleted").otherwise("late").alias("kind")))
         out = found if out is None else out.unionByName(found)
     return out

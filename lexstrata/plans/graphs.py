@@ -408,7 +408,7 @@ ORACLES: dict[str, str] = {
     "link_scores": _scored(),
     "link_edges": f"""SELECT CASE WHEN kind = 'amends' THEN link_text ELSE work_id END AS edge_from, CASE WHEN kind = 'amends' THEN work_id ELSE link_text END AS edge_to, kind, obs_id::varchar AS provenance
       FROM (SELECT *, {_first('context_sample', 0)} AS kind FROM observations WHERE work_id IS NOT NULL AND link_text IS NOT NULL AND obs_id IS NOT NULL) WHERE kind <> 'unknown'""",
-    "link_observations": "SELECT link_text, count(*) AS n, coalesce(min_by(coalesce(context_sample, chr(0)), obs_id), '') AS first_context, count(DISTINCT work_id) AS n_dests FROM observations WHERE link_text IS NOT NULL GROUP BY link_text",
+    "link_observations": "SELECT link_text, count(*) AS n, coalesce(nullif(min_by(coalesce(context_sample, chr(0)), obs_id), chr(0)), '') AS first_context, count(DISTINCT work_id) AS n_dests FROM observations WHERE link_text IS NOT NULL GROUP BY link_text",
     "edition_link_counts": f"SELECT edition_number, count(*) AS n_links, " + ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in ("amends", "cites", "implements", "specifies", "unknown")) + f" FROM (SELECT edition_number, {_first('text', 0)} AS kind FROM article_texts WHERE text IS NOT NULL) GROUP BY 1",
     "edition_link_deltas": "SELECT edition_number, " + ", ".join(f"coalesce({c} - lag({c}) OVER (ORDER BY edition_number), 0) AS d_{c}" for c in _COUNTS) + " FROM (SELECT edition_number, " + ", ".join(f"max({c}) AS {c}" for c in _COUNTS) + " FROM edition_summaries GROUP BY 1)",
     "catalog_latest": """WITH e AS (SELECT o_custkey AS s, arg_max(o_orderkey, {'a': coalesce(CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 5 END, 0), 'b': strftime(o_orderdate, '%Y-%m-%d'), 'c': o_orderkey}) AS edition_id FROM orders GROUP BY 1)

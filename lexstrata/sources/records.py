@@ -12,7 +12,7 @@ from ..functions.dates import edition_file
 def registry_lines(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """(path, line, id, record, diagnostic): JSON lines with blank ones left out; malformed, no object, no id, wrong
     record_kind, or duplicate id, whose record is kept."""
-    text = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("m"), F.col("value").alias("record"))
+    text = spark.read.text(path, lineSep="\n").select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("m"), F.col("value").alias("record"))
     lines = text.withColumn("line", F.row_number().over(W.partitionBy("path").orderBy("b", "m"))).filter(F.trim("record") != "")
     v = F.try_parse_json("record")
     rows = lines.withColumns({"id": F.try_variant_get(v, "$.id", "string"), "k": F.try_variant_get(v, "$.record_kind", "string"), "t": F.schema_of_variant(v)})
@@ -26,7 +26,7 @@ def registry_lines(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 def packets(spark: SparkSession, folder: str) -> DataFrame:
     """One JSON text a file, as (path, payload) for operators.nested.flatten."""
-    return spark.read.option("wholetext", True).text(folder).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("payload"))
+    return spark.read.text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("payload"))
 
 
 def edition_files(spark: SparkSession, folder: str) -> DataFrame:

@@ -51,10 +51,10 @@ def check(spark, edges, local_edges):
     assert {r["node"] for r in cycle_nodes(df, local_edges=local_edges).collect()} == cyc
 
 
-@pytest.mark.parametrize("local_edges", [0, 4, 10_000])
+@pytest.mark.parametrize("local_edges", [4, 10_000])
 def test_random_graphs(spark, local_edges):
     rng = random.Random(local_edges)
-    edges = [(f"n{rng.randrange(30)}", f"n{rng.randrange(30)}") for _ in range(26)]
+    edges = [(f"n{rng.randrange(24)}", f"n{rng.randrange(24)}") for _ in range(18)]
     edges += [("t1", "root"), ("t2", "root"), ("t3", "t1"), ("t4", "t3"), ("t4", "t2"), (None, "root"), ("t1", None), ("t1", "root"), ("s", "s")]
     check(spark, edges, local_edges)
 
