@@ -95,10 +95,10 @@ def text_drafts(before: DataFrame, after: DataFrame, key: list[str], text: str)
 
 def drift(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:
     """(missing, phantom, drift, expected): distinct ids on one side only; ``expected`` counts rows, repeated ones too."""
-    e = expected.select(F.col(key).alias("k")).distinct().withColumn("e", F.lit(1))
-    a = actual.select(F.col(key).alias("k")).distinct().withColumn("a", F.lit(1))
-    sums = e.join(a, "k", "full").agg(F.count_if(F.col("a").isNull()).alias("missing"), F.count_if(F.col("e").isNull()).alias("phantom"))
-    return sums.withColumn("drift", F.col("missing") + F.col("phantom")).crossJoin(expected.agg(F.count(key).alias("expected")))  # one row each
+    e = expected.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.count("*").alias("e"))
+    a = actual.filter(F.col(key).isNotNull()).select(F.col(key).alias("k")).distinct().withColumn("a", F.lit(1))
+    sums = e.join(a, "k", "full").agg(F.count_if(F.col("a").isNull()).alias("missing"), F.count_if(F.col("e").isNull()).alias("phantom"), F.coalesce(F.sum("e"), F.lit(0)).alias("expected"))
+    return sums.select("missing", "phantom", (F.col("missing") + F.col("phantom")).alias("drift"), "expected")
 
 
 def heal(log: DataFrame, expected: DataFrame, present: DataFrame, day: int) -> DataFrame:

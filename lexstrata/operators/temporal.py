@@ -38,8 +38,8 @@ def text_as_of(log: DataFrame, key: list[str], day: str, text: str, order: str,
     """(key, outcome, text, texts): the text of the last day; several events of that day are a conflict that keeps every
     text, copies too, in log order."""
     seen = log.filter(F.col(day) <= at)
-    last = W.partitionBy(*key).orderBy(F.desc(day))
-    tied = seen.withColumn("__r", F.rank().over(last)).filter("__r = 1")
+    # The last day by aggregation, then only its rows: a hot key is never sorted as a whole. Null keys have no answer.
+    tied = seen.join(seen.groupBy(*key).agg(F.max(day).alias(day)), [*key, day])
     g = tied.groupBy(*key).agg(F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))), lambda x: x["t"]).alias("texts"))
     one = F.col("n") == 1
     return g.select(*key, F.when(one, "resolved").otherwise("conflict").alias("outcome"), F.when(one, F.get("texts", F.lit(0))).alias("text"), F.when(~one, F.col("texts")).otherwise(F.array().cast("array<string>")).alias("texts"))
