@@ -200,3 +200,37 @@ def bodies(blocks: DataFrame, doc: list[str], order: str, is_marker: Column, tex
     owned = blocks.withColumns({"__m": is_marker, "__x": F.trim(F.col(text))}).withColumn("__owner", F.last(F.when(F.col("__m"), F.col(order)), True).over(run))
     part = owned.filter("__owner is not null").groupBy(*doc, F.col("__owner").alias("marker"))
     return part.agg(F.array_join(F.transform(F.array_sort(F.filter(F.collect_list(F.when(~F.col("__m") & (F.col("__x") != ""), F.struct(F.col(order).alias("o"), F.col("__x").alias("x")))), lambda s: s.isNotNull())), lambda s: s["x"]), "\n").alias("body"))
+
+
+def unit_owners(blocks: DataFrame, doc: list[str], order: str, unit: Column, reset: Column) -> DataFrame:
+    """Blocks with ``owner``: the order of the last unit before them, unless a container or an undeclared marker (reset)
+    came in between; unit and reset blocks themselves have no owner."""
+    event = F.when(reset, F.lit(-1).cast("bigint")).when(unit, F.col(order).cast("bigint"))
+    run = W.partitionBy(*doc).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    before = F.last(event, True).over(run)
+    return blocks.withColumn("owner", F.when(event.isNull() & (before >= 0), before))
+
+
+def resolve_level(token: Column) -> Column:
+    """Level of a decoder's token: its alias, itself if it is a level, else null."""
+    alias = F.try_element_at(F.create_map(*[F.lit(x) for kv in V.LEVEL_ALIASES.items() for x in kv]), token)
+    return F.coalesce(alias, F.when(token.isin(V.LEVELS), token))
+
+
+def transition_error(source: Column, target: Column, edges: list[tuple[str, str]] | None = None) -> Column:
+    """'' for a declared transition, else 'unknown transition'."""
+    allowed = F.concat_ws(">", source, target).isin([f"{a}>{b}" for a, b in edges or V.FSM_EDGES])
+    return F.when(F.coalesce(allowed, F.lit(False)), "").otherwise("unknown transition")
+
+
+def structural_probe(blocks: DataFrame, doc: list[str], text: str, unit_patterns: dict[str, str]) -> DataFrame:
+    """(doc, one count for each group): blocks that open like a unit of the group. Groups of plain text have no pattern."""
+    return blocks.groupBy(*doc).agg(*[F.count_if(F.col(text).rlike(p)).alias(f"n_{g}") for g, p in unit_patterns.items()])
+
+
+def two_factor(group: Column, probes: dict[str, Column]) -> Column:
+    """A group found by metadata counts only if the structure agrees: its probe has a hit, or it has none (plain text)."""
+    out = F.lit("unknown")
+    for g, n in probes.items():
+        out = F.when((group == g) & (n > 0), g).otherwise(out)
+    return F.when(group.isNotNull() & ~group.isin(list(probes)) & (group != ""), group).otherwise(out)

@@ -30,7 +30,7 @@ def link_classes(spark: SparkSession, d: str) -> DataFrame:
 
 def link_scores(spark: SparkSession, d: str) -> DataFrame:
     kind, confidence = K.classify_scored(F.col("context_sample"))
-    _, boost = K.profile(F.lit("consultant/law_2013-04-05_44-fz/edition-3.xml"))
+    _, boost = K.profile(F.lit("acts/law_2013-04-05_44-fz/edition-3.xml"))
     return _obs(spark, d).select("obs_id", kind.alias("kind"), F.round(confidence, 9).alias("confidence"), F.round(K.boosted(kind, confidence, boost), 9).alias("boosted"))
 
 

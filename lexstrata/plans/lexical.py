@@ -127,6 +127,24 @@ def proposed_membership(spark: SparkSession, d: str) -> DataFrame:
     return p.select("marker_id", F.coalesce("parent", F.lit(-1)).alias("parent"))
 
 
+def unit_owners(spark: SparkSession, d: str) -> DataFrame:
+    m = table(spark, d, "open_blocks").filter("package_id is not null and order_index is not null").groupBy("package_id", "order_index").agg(F.min("text").alias("text"), F.min("kind").alias("kind"), F.min("block_id").alias("block_id"))
+    o = L.unit_owners(m, ["package_id"], "order_index", F.coalesce(F.col("text").rlike("^[А-М]"), F.lit(False)), F.coalesce(F.col("kind") != "paragraph", F.lit(True)))
+    return o.select("block_id", F.coalesce("owner", F.lit(-1)).alias("owner"))
+
+
+def marker_levels(spark: SparkSession, d: str) -> DataFrame:
+    m = table(spark, d, "marker_bodies").select("marker_id", F.initcap("marker_level").alias("token"), "marker_level")
+    pair = L.transition_error(F.lit("O0"), F.concat(F.lit("O"), (F.col("marker_id") % 3).cast("string")))
+    return m.select("marker_id", F.coalesce(L.resolve_level(F.col("token")), F.lit("")).alias("level"), F.coalesce(L.resolve_level(F.concat("token", F.lit("x"))), F.lit("")).alias("none"), pair.alias("error"))
+
+
+def group_probes(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").filter("text is not null").select("doc_id", F.coalesce("document_group", F.lit("")).alias("g"), F.explode(F.split("text", "\n")).alias("line"))
+    p = L.structural_probe(docs, ["doc_id", "g"], "line", {"federal_law": "^Статья [0-9]", "government_resolution": "^[0-9]+[.] "})
+    return p.select("doc_id", "n_federal_law", "n_government_resolution", L.two_factor(F.col("g"), {"federal_law": F.col("n_federal_law"), "government_resolution": F.col("n_government_resolution")}).alias("grp"))
+
+
 _WSQL = "chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||' '||chr(160)||chr(8195)||chr(8201)||chr(8239)||chr(12288)"
 _TOK = "SELECT {k}, unnest(regexp_extract_all(lower({t}), '\\p{{L}}+')) AS token FROM {f}"
 _ART = _TOK.format(k="article_id", t="text", f="article_texts")
@@ -140,6 +158,7 @@ _NUMBER = "[0-9]+(?:\\.[0-9]+)*"
 QUERIES = {f.__name__: f for f in (
     id_validation, minted_works, day_ordinals, dates_in_names, text_hashes, fingerprints, token_counts, token_offsets, sentence_counts, reference_mentions, marker_words,
     deontic_words, temporal_phrases, unknown_census, unknown_ranked, unknown_unpatched, block_markers, owned_bodies, depth_overflow, proposed_membership,
+    unit_owners, marker_levels, group_probes,
 )}
 _STY = "(SELECT * FROM open_blocks WHERE provider_style_id IS NULL OR provider_style_id <> 's9')"
 _MONTHS = "|".join(V.MONTHS)
@@ -173,4 +192,13 @@ ORACLES = {
     "proposed_membership": f"""WITH one AS (SELECT work_id, edition_number, order_index, min(marker_id) AS marker_id, arg_min(marker_level, marker_id) AS lv FROM marker_bodies WHERE work_id IS NOT NULL AND edition_number IS NOT NULL AND order_index IS NOT NULL GROUP BY 1, 2, 3),
       r AS (SELECT *, list_position([{_list(V.LEVELS)}], lv) AS rk FROM one WHERE list_position([{_list(V.LEVELS)}], lv) > 0)
       SELECT marker_id, coalesce((SELECT arg_max(b.marker_id, b.order_index) FROM r b WHERE b.work_id = a.work_id AND b.edition_number = a.edition_number AND b.order_index < a.order_index AND b.rk < a.rk), -1) AS parent FROM r a""",
+    "unit_owners": """WITH m AS (SELECT package_id, order_index, min(text) AS text, min(kind) AS kind, min(block_id) AS block_id FROM open_blocks WHERE package_id IS NOT NULL AND order_index IS NOT NULL GROUP BY 1, 2),
+      e AS (SELECT *, CASE WHEN coalesce(kind <> 'paragraph', true) THEN -1 WHEN regexp_matches(coalesce(text, ''), '^[А-М]') THEN order_index END AS ev FROM m),
+      o AS (SELECT *, last_value(ev IGNORE NULLS) OVER (PARTITION BY package_id ORDER BY order_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM e)
+      SELECT block_id, CASE WHEN ev IS NULL AND b >= 0 THEN b ELSE -1 END AS owner FROM o""",
+    "marker_levels": f"SELECT marker_id, CASE WHEN marker_level IN ({_list(V.LEVELS)}) THEN marker_level ELSE '' END AS level, '' AS none, CASE WHEN marker_id % 3 = 1 THEN '' ELSE 'unknown transition' END AS error FROM marker_bodies",
+    "group_probes": """WITH l AS (SELECT doc_id, coalesce(document_group, '') AS g, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
+      p AS (SELECT doc_id, g, count(*) FILTER (regexp_matches(line, '^Статья [0-9]')) AS n_federal_law, count(*) FILTER (regexp_matches(line, '^[0-9]+[.] ')) AS n_government_resolution FROM l GROUP BY 1, 2)
+      SELECT doc_id, n_federal_law, n_government_resolution, CASE WHEN g = 'federal_law' THEN CASE WHEN n_federal_law > 0 THEN g ELSE 'unknown' END WHEN g = 'government_resolution' THEN CASE WHEN n_government_resolution > 0 THEN g ELSE 'unknown' END
+      WHEN g = '' THEN 'unknown' ELSE g END AS grp FROM p""",
 }
