@@ -139,7 +139,8 @@ def marker(text: Column) -> Column:
 
 
 def _lookup(word: Column, classes: dict[str, list[str]]) -> Column:
-    return F.element_at(F.create_map(*[F.lit(x) for k, ws in classes.items() for w in ws for x in (w, k)]), word)
+    """The class whose list holds the word, else null."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for k, ws in classes.items() for w in ws for x in (w, k)]), word)
 
 
 def morphology(token_rows: DataFrame, by: list[str]) -> DataFrame:
@@ -147,7 +148,7 @@ def morphology(token_rows: DataFrame, by: list[str]) -> DataFrame:
     nothing but one gap of white space between)."""
     order = W.partitionBy(*by).orderBy("pos")
     before = F.lag(F.struct("token", "end")).over(order)
-    return token_rows.withColumns({"kind": F.try_element_at(F.create_map(*[F.lit(x) for k, ws in V.MARKER_WORDS.items() for w in ws for x in (w, k)]), F.col("token")), "b": before}).filter("kind is not null").select(
+    return token_rows.withColumns({"kind": _lookup(F.col("token"), V.MARKER_WORDS), "b": before}).filter("kind is not null").select(
         *by, "pos", "token", "start", "end", "kind", F.coalesce((F.col("b.token") == "не") & (F.col("start") - F.col("b.end") == 1), F.lit(False)).alias("negated")
     )
 
@@ -170,8 +171,7 @@ def phrases(df: DataFrame, keys: list[str], text: str) -> DataFrame:
 def unknown_forms(token_rows: DataFrame, classes: dict[str, list[str]] | None = None) -> DataFrame:
     """Token rows of unsupported forms with kind and fingerprint."""
     classes = classes or V.UNKNOWN_FORMS
-    kind = F.try_element_at(F.create_map(*[F.lit(x) for k, ws in classes.items() for w in ws for x in (w, k)]), F.col("token"))
-    return token_rows.withColumn("kind", kind).filter("kind is not null").withColumn("fingerprint", fnv1a64(F.col("token")))
+    return token_rows.withColumn("kind", _lookup(F.col("token"), classes)).filter("kind is not null").withColumn("fingerprint", fnv1a64(F.col("token")))
 
 
 def census(forms: DataFrame, by: list[str]) -> DataFrame:

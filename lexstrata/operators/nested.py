@@ -15,7 +15,6 @@ Defined results
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import numpy as np
