@@ -251,18 +251,18 @@ def hierarchy(edges: DataFrame, child: str = "child", parent: str = "parent", lo
 
 
 def closure(edges: DataFrame, child: str = "child", parent: str = "parent", local_edges: int = LOCAL_EDGES) -> DataFrame:
-    """(node, descendant, distance): all descendants of every node that is not on a cycle and whose subtree holds none
-    of the cycle's nodes, over every parent, with the least distance. Lists travel as rows, never as one value, so a
-    root above a third of all nodes stays a set of rows spread over all tasks. Doubling joins need one round for each
-    power of two of the depth."""
-    e = _distinct_edges(edges, child, parent)
-    plain = materialise(peel_order(e, local_edges=local_edges).filter("not on_cycle").select("node"))
-    step = e.join(plain.select(F.col("node").alias("child")), "child", "left_semi").join(plain.select(F.col("node").alias("parent")), "parent", "left_semi")
-    far = materialise(step.select(F.col("parent").alias("node"), F.col("child").alias("descendant"), F.lit(1).alias("distance")))
+    """(node, descendant, distance): all descendants of every node that is not on a cycle, over every parent, with the least
+    distance. Below an ordinary node the items of a cycle and what hangs from them are descendants like others; only nodes
+    on a cycle have no rows of their own. Lists travel as rows, never as one value, so a root above a third of all nodes
+    stays a set of rows spread over all tasks. Doubling joins need one round for each power of two of the greatest least
+    distance; meanwhile a node on a cycle has rows too."""
+    e = materialise(_distinct_edges(edges, child, parent))
+    cyclic = materialise(peel_order(e, local_edges=local_edges).filter("on_cycle").select("node"))
+    far = materialise(e.select(F.col("parent").alias("node"), F.col("child").alias("descendant"), F.lit(1).alias("distance")))
     size = far.count()
     while True:
         more = far.alias("a").join(far.alias("b"), F.col("a.descendant") == F.col("b.node")).select("a.node", "b.descendant", (F.col("a.distance") + F.col("b.distance")).alias("distance"))
         far = materialise(far.unionByName(more).groupBy("node", "descendant").agg(F.min("distance").alias("distance")))
         if (new := far.count()) == size:
-            return far
+            return far.join(cyclic, "node", "left_anti")
         size = new

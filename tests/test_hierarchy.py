@@ -76,6 +76,24 @@ def test_closure_of_a_graph_with_two_parents(spark):
     assert got == {("a", "b", 1), ("a", "c", 1), ("a", "d", 2), ("a", "e", 3), ("b", "d", 1), ("b", "e", 2), ("c", "d", 1), ("c", "e", 2), ("d", "e", 1)}
 
 
+def test_closure_of_an_ancestor_above_a_cycle(spark):
+    edges = [("C", "D"), ("D", "C"), ("C", "X"), ("E", "D"), ("X", "Y"), ("E", "W"), ("F", "F"), ("F", "E"), ("G", "F")]
+    df = spark.createDataFrame([(c, p, "x") for c, p in edges], EDGES)
+    got = {tuple(r) for r in closure(df).select("node", "descendant", "distance").collect()}
+    below = {("X", "C", 1), ("X", "D", 2), ("X", "E", 3), ("X", "F", 4), ("X", "G", 5), ("E", "F", 1), ("E", "G", 2), ("W", "E", 1), ("W", "F", 2), ("W", "G", 3)}
+    assert got == below | {("Y", n, k + 1) for x, n, k in below if x == "X"} | {("Y", "X", 1)}
+
+
+@pytest.mark.parametrize("local_edges", [4, 10_000])
+def test_closure_of_random_graphs(spark, local_edges):
+    rng = random.Random(local_edges + 1)
+    edges = [(f"n{rng.randrange(30)}", f"n{rng.randrange(30)}") for _ in range(32)] + [("s", "s"), ("s", "n1")]
+    nodes, cyc, _, reach = brute(edges)
+    assert any(reach[n] - cyc for n in cyc)
+    got = {(r["node"], r["descendant"]) for r in closure(spark.createDataFrame([(c, p, "x") for c, p in edges], EDGES), local_edges=local_edges).collect()}
+    assert got == {(a, n) for n in nodes for a in reach[n] if a not in cyc}
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], EDGES)
     assert hierarchy(df).count() == 0 and closure(df).count() == 0
