@@ -23,33 +23,36 @@ def propose(markers: DataFrame, doc: list[str], order: str, node: str, rank: Col
 
 def admit(proposals: DataFrame, doc: str, order: str = "ord") -> DataFrame:
     """(doc, ord, child, parent, outcome): proposals in order; 'self_parent', 'duplicate' (dropped), 'second_parent' and
-    'cycle' are set aside, the first parent wins ('admitted'). What depends on no order is decided by windows; only the
-    first proposal of each child, one row a child, meets the ordered cycle check of its document."""
+    'cycle' are set aside, the first parent that closes no cycle wins ('admitted'). A child has a parent only from its
+    admission on: until then each of its proposals is checked for a cycle, repeats of a rejected pair too. A rejected pair
+    stays a cycle, as admitted edges never leave, so every distinct pair at its first place meets the ordered check of its
+    document; all other outcomes follow from the place of the child's admission."""
     ship(proposals.sparkSession)
-    first = W.partitionBy(doc, "child").orderBy(order)
     p = proposals.withColumn("__self", F.col("child") == F.col("parent"))
-    real = p.filter("not __self").withColumns({"__k": F.row_number().over(first), "__p": F.first("parent").over(first)})
-    repeated = real.filter("__k > 1").select(doc, order, "child", "parent", F.when(F.col("parent") == F.col("__p"), "duplicate").otherwise("second_parent").alias("outcome"))
+    real = p.filter("not __self").select(doc, order, "child", "parent")
     selfs = p.filter("__self").select(doc, order, "child", "parent", F.lit("self_parent").alias("outcome"))
-    schema = f"{doc} {proposals.schema[doc].dataType.simpleString()}, {order} {proposals.schema[order].dataType.simpleString()}, child string, parent string, outcome string"
+    kind = {c: proposals.schema[c].dataType.simpleString() for c in (doc, order)}
 
     def ordered(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
+        pdf = pdf.sort_values([order, "child", "parent"], kind="stable")
         up: dict[str, str] = {}
-        outcome = []
-        for c, q in zip(pdf["child"], pdf["parent"]):
+        places = []
+        for o, c, q in zip(pdf[order], pdf["child"], pdf["parent"]):
             top = q
             while top in up and top != c:
                 top = up[top]
-            cyclic = top == c
-            if not cyclic:
+            if c not in up and top != c:
                 up[c] = q
-            outcome.append("cycle" if cyclic else "admitted")
-        return pdf.assign(outcome=outcome)
-
-    # A set-aside first proposal leaves its child without parent: later ones stay second, as the first was heard.
-    checked = real.filter("__k = 1").select(doc, order, "child", "parent").groupBy(doc).applyInPandas(ordered, schema)
-    return checked.unionByName(repeated).unionByName(selfs)
+                places.append(o)
+        return pd.DataFrame({"__d": [pdf[doc].iloc[0]] * len(up), "__c": list(up), "__o": places, "__q": list(up.values())})
+
+    pairs = real.groupBy(doc, "child", "parent").agg(F.min(order).alias(order))
+    taken = pairs.groupBy(doc).applyInPandas(ordered, f"__d {kind[doc]}, __c string, __o {kind[order]}, __q string")
+    nth = F.row_number().over(W.partitionBy(doc, "child", "parent").orderBy(order))
+    met = real.withColumn("__n", nth).join(taken, F.col(doc).eqNullSafe(F.col("__d")) & (F.col("child") == F.col("__c")), "left")
+    later = F.struct(F.col(order), F.col("parent")) > F.struct(F.col("__o"), F.col("__q"))
+    outcome = F.when(F.col("parent") == F.col("__q"), F.when(F.col("__n") == 1, "admitted").otherwise("duplicate")).when(F.col("__q").isNotNull() & later, "second_parent").otherwise("cycle")
+    return met.select(doc, order, "child", "parent", outcome.alias("outcome")).unionByName(selfs)
 
 
 def bounded_closure(edges: DataFrame, seeds: DataFrame, bound: int = 8) -> DataFrame:

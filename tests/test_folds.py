@@ -74,6 +74,37 @@ def test_admission(spark):
     assert got == {1: "admitted", 2: "duplicate", 3: "second_parent", 4: "self_parent", 5: "cycle", 6: "admitted"}
 
 
+def admission_brute(rows):
+    up, out = {}, {}
+    for o, c, p in sorted(rows):
+        if c == p:
+            out[o] = "self_parent"
+        elif c in up:
+            out[o] = "duplicate" if up[c] == p else "second_parent"
+        else:
+            top = p
+            while top in up and top != c:
+                top = up[top]
+            out[o] = "cycle" if top == c else "admitted"
+            if top != c:
+                up[c] = p
+    return out
+
+
+def test_admission_after_a_rejected_cycle(spark):
+    p = [("d", 1, "b", "a"), ("d", 2, "a", "b"), ("d", 3, "a", "b"), ("d", 4, "a", "c"), ("d", 5, "a", "b"), ("d", 6, "a", "c"), ("d", 7, "c", "b"), ("d", 8, "c", "e")]
+    df = spark.createDataFrame(p + [(None, *r[1:]) for r in p], "doc string, ord int, child string, parent string")
+    want = {1: "admitted", 2: "cycle", 3: "cycle", 4: "admitted", 5: "second_parent", 6: "duplicate", 7: "cycle", 8: "admitted"}
+    assert {(r["doc"], r["ord"]): r["outcome"] for r in M.admit(df, "doc").collect()} == {(d, o): x for d in ("d", None) for o, x in want.items()}
+
+
+def test_admission_equals_a_replay(spark):
+    rng = random.Random(5)
+    docs = {d: [(i, rng.choice("abcdefg"), rng.choice("abcdefg")) for i in range(60)] for d in range(6)}
+    df = spark.createDataFrame([(d, *r) for d, rows in docs.items() for r in rows], "doc int, ord int, child string, parent string")
+    assert {(r["doc"], r["ord"]): r["outcome"] for r in M.admit(df, "doc").collect()} == {(d, o): x for d, rows in docs.items() for o, x in admission_brute(rows).items()}
+
+
 def test_bounded_closure(spark):
     edges = [("a", "b"), ("b", "c"), ("c", None), ("x", "gone")] + [(f"k{i}", f"k{i + 1}") for i in range(12)] + [("k12", None)]
     e = spark.createDataFrame(edges, "node string, dep string")
