@@ -39,6 +39,15 @@ def test_query(spark, con, name):
     assert sorted(repr([plain(x) for x in row]) for row in rows) == sorted(repr([plain(row[i]) for i in order]) for row in r.fetchall())
 
 
+def test_status_of_users_beyond_the_range(spark, tmp_path):
+    rows = [(1, 5, "view", "2024-01-02"), (2, 2000, "click", "2024-01-03"), (3, 14_999, "view", "2024-01-04"), (4, 70_000, "view", "2024-02-01"), (5, None, "view", "2024-01-02")]
+    e = spark.createDataFrame(rows, "event_id bigint, user_id bigint, event_type string, t string").selectExpr("event_id", "cast(t as timestamp_ntz) ts", "user_id", "event_type")
+    e.write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["user_id"]: (r["status"], r["outcome"]) for r in entry.queries()["status_as_of"](spark, str(tmp_path)).collect()}
+    assert len(got) == 2003 and got[1999] == got[70_000] == ("unknown", "unknown")
+    assert got[5] == got[14_999] == ("view", "resolved") and got[2000] == ("click", "resolved")
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["edition_number", "work_id", "number", "change_kind"]
 
