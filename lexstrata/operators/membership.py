@@ -73,6 +73,16 @@ def bounded_closure(edges: DataFrame, seeds: DataFrame, bound: int = 8) -> DataF
     return j.select("seed", outcome.alias("outcome"), F.when(outcome == "complete", F.col("k")).alias("n_affected"))
 
 
+def edition_pairs(rows: DataFrame, edition: str, counted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(before, after): ``counted`` rows of each edition's next lower one, under the higher edition's number, and of each
+    edition but the lowest. The editions are those in which ``rows`` has any row; rows of null edition don't count."""
+    has = rows.select(F.col(edition).alias("__e")).na.drop().distinct()
+    pairs = F.broadcast(has.withColumn("__b", F.lag("__e").over(W.orderBy("__e"))).filter("__b is not null"))  # one row an edition
+    old = counted.join(pairs, F.col(edition) == F.col("__b")).withColumn(edition, F.col("__e")).drop("__e", "__b")
+    new = counted.join(pairs, F.col(edition) == F.col("__e")).drop("__e", "__b")
+    return old, new
+
+
 def marker_diff(before: DataFrame, after: DataFrame, key: list[str]) -> DataFrame:
     """Rows (duplicates kept) of either side whose key the other lacks, with ``change`` removed or added."""
     gone = before.join(after.select(*key).distinct(), key, "left_anti").withColumn("change", F.lit("removed"))

@@ -204,6 +204,23 @@ def text_changes(spark: SparkSession, d: str) -> DataFrame:
     return M.text_drafts(one, two, key, "text")
 
 
+def marker_changes_all(spark: SparkSession, d: str) -> DataFrame:
+    """marker_changes for every edition against the next lower one that has rows, under the higher edition's number."""
+    m = table(spark, d, "marker_bodies")
+    counted = m.filter("number is not null and work_id is not null").select("work_id", "marker_level", tidy("number").alias("number"), "edition_number", "marker_id")
+    before, after = M.edition_pairs(m, "edition_number", counted)
+    return M.marker_diff(before, after, ["edition_number", "work_id", "marker_level", "number"]).select("edition_number", "marker_id", "change")
+
+
+def text_changes_all(spark: SparkSession, d: str) -> DataFrame:
+    """text_changes for every edition against the next lower one that has rows, under the higher edition's number."""
+    a = table(spark, d, "article_texts")
+    key = ["edition_number", "work_id", "number"]
+    counted = a.filter("number is not null and work_id is not null and edition_number is not null").withColumn("number", tidy("number"))
+    before, after = M.edition_pairs(a, "edition_number", M.first_of_key(counted.select(*key, "text", "article_id"), key, "article_id"))
+    return M.text_drafts(before, after, key, "text")
+
+
 def structure_drift(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "orders").filter("o_orderdate < '1996-01-01'").select(F.col("o_custkey").alias("id"))
     return M.drift(e, table(spark, d, "customer").select(F.col("c_custkey").alias("id")), "id")
@@ -349,7 +366,7 @@ def intake_attempts(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     link_classes, link_scores, link_edges, link_observations, edition_link_counts, edition_link_deltas, catalog_latest, catalog_misses, document_groups, corpus_roles, cross_act_edges,
     vector_topk, vector_labels, nodes_by_label, graph_upserts, evidence_answers, status_as_of, status_at_orders, text_as_of, membership_fold, membership_conflicts, presence_fold,
-    region_tree, region_tree_pruned, status_structure, clock_anchors, marker_changes, text_changes, structure_drift, healed_drift, forest_roots, edge_guards, dependency_closure, admitted_edges,
+    region_tree, region_tree_pruned, status_structure, clock_anchors, marker_changes, text_changes, marker_changes_all, text_changes_all, structure_drift, healed_drift, forest_roots, edge_guards, dependency_closure, admitted_edges,
     registry_bindings, write_set_counts, registry_missing_ends, registry_untraced, registry_contradictions, registry_unchecked, registry_superseded, registry_evidence, registry_buckets,
     registry_matrix, registry_surfaces, registry_coverage, extractor_scores, conformance_rollup, status_rollup, chain_check, replay_outcomes, intake_attempts,
 )}
@@ -445,6 +462,14 @@ ORACLES: dict[str, str] = {
       UNION ALL SELECT marker_id, 'added' FROM m a WHERE edition_number = 2 AND NOT EXISTS (SELECT 1 FROM m b WHERE b.edition_number = 1 AND a.work_id = b.work_id AND a.marker_level = b.marker_level AND a.number = b.number)""",
     "text_changes": f"""WITH f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY edition_number, work_id, n ORDER BY article_id) AS r FROM {_ART}) WHERE r = 1), a AS (SELECT * FROM f WHERE edition_number = 2), b AS (SELECT * FROM f WHERE edition_number = 1)
       SELECT coalesce(a.work_id, b.work_id) AS work_id, coalesce(a.n, b.n) AS number, CASE WHEN a.work_id IS NULL THEN 'detach' ELSE 'attach' END AS kind FROM a FULL JOIN b ON a.work_id = b.work_id AND a.n = b.n WHERE a.work_id IS NULL OR b.work_id IS NULL OR a.text IS DISTINCT FROM b.text""",
+    "marker_changes_all": f"""WITH x AS (SELECT e, lag(e) OVER (ORDER BY e) AS b FROM (SELECT DISTINCT edition_number AS e FROM marker_bodies WHERE edition_number IS NOT NULL)), m AS {_MK}
+      SELECT x.e AS edition_number, marker_id, 'removed' AS change FROM m a JOIN x ON a.edition_number = x.b WHERE NOT EXISTS (SELECT 1 FROM m b WHERE b.edition_number = x.e AND a.work_id = b.work_id AND a.marker_level = b.marker_level AND a.number = b.number)
+      UNION ALL SELECT x.e, marker_id, 'added' FROM m a JOIN x ON a.edition_number = x.e AND x.b IS NOT NULL WHERE NOT EXISTS (SELECT 1 FROM m b WHERE b.edition_number = x.b AND a.work_id = b.work_id AND a.marker_level = b.marker_level AND a.number = b.number)""",
+    "text_changes_all": f"""WITH x AS (SELECT e, lag(e) OVER (ORDER BY e) AS before FROM (SELECT DISTINCT edition_number AS e FROM article_texts WHERE edition_number IS NOT NULL)),
+      f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY edition_number, work_id, n ORDER BY article_id) AS r FROM {_ART}) WHERE r = 1),
+      a AS (SELECT x.e, f.* FROM f JOIN x ON edition_number = x.e AND x.before IS NOT NULL), b AS (SELECT x.e, f.* FROM f JOIN x ON edition_number = x.before)
+      SELECT coalesce(a.e, b.e) AS edition_number, coalesce(a.work_id, b.work_id) AS work_id, coalesce(a.n, b.n) AS number, CASE WHEN a.e IS NULL THEN 'detach' ELSE 'attach' END AS kind FROM a FULL JOIN b ON a.e = b.e AND a.work_id = b.work_id AND a.n = b.n
+      WHERE a.e IS NULL OR b.e IS NULL OR a.text IS DISTINCT FROM b.text""",
     "structure_drift": """WITH e AS (SELECT o_custkey AS id FROM orders WHERE o_orderdate < '1996-01-01'), d AS (SELECT DISTINCT id FROM e) SELECT count(*) FILTER (c_custkey IS NULL) AS missing, count(*) FILTER (id IS NULL) AS phantom,
       count(*) FILTER (c_custkey IS NULL OR id IS NULL) AS drift, (SELECT count(id) FROM e) AS expected FROM d FULL JOIN customer ON c_custkey = id""",
     "healed_drift": "SELECT 0 AS missing",

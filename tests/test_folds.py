@@ -112,6 +112,14 @@ def test_bounded_closure(spark):
     assert {tuple(r) for r in M.bounded_closure(e, s).collect()} == {("a", "complete", 3), ("x", "incomplete", None), ("nowhere", "unknown", None), ("k0", "unbounded", None), ("k5", "complete", 8)}
 
 
+def test_every_edition_is_compared_with_the_next_lower_one(spark):
+    rows = [(1, "w", 3, "1", "a"), (2, "w", 3, "2", "b"), (3, "w", 7, "1", "A"), (4, "w", 7, "3", "c"), (5, "w", 9, "1", "A"), (6, "w", None, "1", "z"), (7, "v", 9, "1", "n")]
+    a = spark.createDataFrame(rows, "i int, w string, e int, n string, t string")
+    before, after = M.edition_pairs(a, "e", a)
+    assert {tuple(r) for r in M.marker_diff(before, after, ["e", "w", "n"]).select("e", "i", "change").collect()} == {(7, 2, "removed"), (7, 4, "added"), (9, 4, "removed"), (9, 7, "added")}
+    assert {tuple(r) for r in M.text_drafts(before, after, ["e", "w", "n"], "t").collect()} == {(7, "w", "1", "attach"), (7, "w", "2", "detach"), (7, "w", "3", "attach"), (9, "w", "3", "detach"), (9, "v", "1", "attach")}
+
+
 def test_operations_and_guards(spark):
     e = spark.createDataFrame([("A", "s", "root"), ("A", "k", "s"), ("A", "t", "root"), ("B", "s", "r")], "act string, child string, parent string")
     ops = [("A", 1, "o1", "renumber", ["s"], ["s2"]), ("A", 2, "o1", "renumber", ["s2"], ["s3"]), ("A", 3, "o2", "move", ["k"], ["t"]), ("A", 4, "o3", "split", ["t"], ["t1", "t2"])]
