@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions.ids import citation_error
+from ..session import ship
 
 TINY = 1e-12
+#: Vectors in a block of rows or queries, and hits a task holds before it cuts them to k a query.
+BLOCK, HELD = 256, 200_000
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -35,6 +43,60 @@ def top_k(vectors: DataFrame, vec_id: str, embedding: str, query: list[float], k
     return scored.orderBy(F.desc("score"), "id").limit(k)
 
 
+def _blocks(vectors: DataFrame, vec_id: str, embedding: str, block: int, side: str) -> DataFrame:
+    """(ids, width, flat) of blocks of about ``block`` vectors of one width; a vector that is null, empty or holds a null is in none."""
+    v = vectors.select(F.col(vec_id).cast("bigint").alias("id"), F.col(embedding).cast("array<double>").alias("v")).filter((F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull()))
+    n = max(1, -(-v.count() // block))
+    g = v.groupBy(F.size("v").alias("width"), F.pmod(F.xxhash64("id"), F.lit(n)).alias("b")).agg(F.collect_list(F.struct("id", "v")).alias("r"))
+    return g.select(F.col("r.id").alias(f"{side}_ids"), F.col("width").alias(f"{side}_width"), F.flatten("r.v").alias(f"{side}_flat"))
+
+
+def top_k_batch(vectors: DataFrame, vec_id: str, embedding: str, queries: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    """(query, id, score): for each row of ``queries`` (same columns, ids unique) the k best of all ``vectors`` as in top_k.
+    Blocks of queries meet blocks of rows, each task keeps k rows a query, and these are merged by query. Sums run in the
+    order of the elements, so scores equal those of ``cosine``."""
+    if k < 1:
+        raise ValueError("k must not be less than 1")
+    ship(vectors.sparkSession)
+    left, right = _blocks(vectors, vec_id, embedding, block, "r"), _blocks(queries, vec_id, embedding, block, "q")
+
+    def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.zeros(np.broadcast_shapes(a.shape[:-1], b.shape[:-1]))
+        for j in range(a.shape[-1]):
+            out += a[..., j] * b[..., j]
+        return out
+
+    def best(hits: pd.DataFrame) -> pd.DataFrame:
+        return hits.sort_values(["query", "score", "id"], ascending=[True, False, True]).groupby("query", sort=False).head(k)
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        size = 0
+        for pdf in batches:
+            for r_ids, rw, r_flat, q_ids, qw, q_flat in pdf[["r_ids", "r_width", "r_flat", "q_ids", "q_width", "q_flat"]].itertuples(index=False):
+                if rw != qw:
+                    continue
+                x, q = np.asarray(r_flat, float).reshape(-1, rw), np.asarray(q_flat, float).reshape(-1, rw)
+                with np.errstate(all="ignore"):
+                    nx, nq = np.sqrt(dots(x, x)), np.sqrt(dots(q, q))
+                    s = np.fmax(0.0, np.fmin(1.0, dots(x[None], q[:, None]) / (nx[None] * nq[:, None])))
+                    s[(nx[None] < TINY) | (nq[:, None] < TINY)] = 0.0
+                held.append(best(pd.DataFrame({"query": np.repeat(np.asarray(q_ids), len(x)), "id": np.tile(np.asarray(r_ids), len(q)), "score": s.ravel()})))
+                size += len(held[-1])
+                if size > HELD:
+                    held = [best(pd.concat(held))]
+                    size = len(held[0])
+                    if size > HELD // 2:  # many queries: these leave as they are
+                        yield held.pop()
+                        size = 0
+        if held:
+            yield best(pd.concat(held))
+
+    partial = left.crossJoin(right).mapInPandas(score, "query bigint, id bigint, score double")
+    place = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "id"))
+    return partial.withColumn("__n", place).filter(F.col("__n") <= k).drop("__n")
+
+
 def with_labels(hits: DataFrame, nodes: DataFrame, metadata: str = "metadata") -> DataFrame:
     """Append to each hit the labels of nodes whose id stands in its metadata under 'label' (duplicates kept, sorted); hits
     without a match keep an empty list."""

@@ -104,6 +104,25 @@ def vector_labels(spark: SparkSession, d: str) -> DataFrame:
     return X.with_labels(meta, nodes).select(F.col("id").alias("vec_id"), F.array_join("labels", ",").alias("labels"))
 
 
+def _batch_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Top 10 of all rows for every row whose id is divisible by 50."""
+    e = table(spark, d, "embeddings")
+    return X.top_k_batch(e, "vec_id", "embedding", e.filter("vec_id % 50 = 0"), 10)
+
+
+def vector_topk_batch(spark: SparkSession, d: str) -> DataFrame:
+    return X.citations(_batch_hits(spark, d)).select(F.col("query").alias("query_id"), F.col("id").alias("vec_id"), F.round("score", 6).alias("score"), "citation", "citation_error")
+
+
+def vector_labels_batch(spark: SparkSession, d: str) -> DataFrame:
+    hits = _batch_hits(spark, d)
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label").join(hits.select("id").distinct(), "id", "left_semi")
+    meta = e.withColumn("metadata", F.array(F.struct(F.lit("label").alias("k"), (F.col("label") % 4).cast("string").alias("v")), F.struct(F.lit("other").alias("k"), F.lit("0").alias("v"))))
+    nodes = table(spark, d, "region").select(F.col("r_regionkey").cast("string").alias("id"), F.col("r_name").alias("label"))
+    labels = X.with_labels(meta, nodes).select("id", F.array_join("labels", ",").alias("labels"))
+    return hits.join(labels, "id").select(F.col("query").alias("query_id"), F.col("id").alias("vec_id"), "labels")
+
+
 def nodes_by_label(spark: SparkSession, d: str) -> DataFrame:
     return X.by_label(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label"), 3)
 
@@ -365,7 +384,7 @@ def intake_attempts(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     link_classes, link_scores, link_edges, link_observations, edition_link_counts, edition_link_deltas, catalog_latest, catalog_misses, document_groups, corpus_roles, cross_act_edges,
-    vector_topk, vector_labels, nodes_by_label, graph_upserts, evidence_answers, status_as_of, status_at_orders, text_as_of, membership_fold, membership_conflicts, presence_fold,
+    vector_topk, vector_labels, vector_topk_batch, vector_labels_batch, nodes_by_label, graph_upserts, evidence_answers, status_as_of, status_at_orders, text_as_of, membership_fold, membership_conflicts, presence_fold,
     region_tree, region_tree_pruned, status_structure, clock_anchors, marker_changes, text_changes, marker_changes_all, text_changes_all, structure_drift, healed_drift, forest_roots, edge_guards, dependency_closure, admitted_edges,
     registry_bindings, write_set_counts, registry_missing_ends, registry_untraced, registry_contradictions, registry_unchecked, registry_superseded, registry_evidence, registry_buckets,
     registry_matrix, registry_surfaces, registry_coverage, extractor_scores, conformance_rollup, status_rollup, chain_check, replay_outcomes, intake_attempts,
@@ -419,6 +438,9 @@ _COS = "list_sum(list_transform(list_zip(embedding, q), lambda x: x[1]::double *
 _HITS = f"""q AS (SELECT embedding AS q FROM embeddings WHERE embedding IS NOT NULL ORDER BY vec_id LIMIT 1),
   hits AS (SELECT vec_id, label, greatest(0, least(1, {_COS} / (sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))) * sqrt(list_sum(list_transform(q, lambda x: x::double * x::double)))))) AS score
   FROM embeddings, q WHERE embedding IS NOT NULL ORDER BY score DESC, vec_id LIMIT 10)"""
+_BATCH = f"""q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE embedding IS NOT NULL AND vec_id % 50 = 0),
+  scored AS (SELECT query_id, vec_id, label, greatest(0, least(1, {_COS} / (sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))) * sqrt(list_sum(list_transform(q, lambda x: x::double * x::double)))))) AS score
+  FROM embeddings, q WHERE embedding IS NOT NULL), hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored) WHERE r <= 10)"""
 _GOLD = "gold AS (SELECT DISTINCT lower(trim(lang)[1:2]) AS layer, doc_id FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL), found AS (SELECT DISTINCT CASE WHEN regexp_matches(text, '[а-яА-Я]') THEN 'ru' ELSE 'en' END AS layer, doc_id FROM documents WHERE text IS NOT NULL)"
 _COUNTS = ("amends_count", "cites_count", "implements_count", "unknown_count")
 
@@ -440,6 +462,8 @@ ORACLES: dict[str, str] = {
       WHEN coalesce(trim(rationale), '') = '' THEN 'missing provenance' ELSE '' END AS error FROM valid_edges""",
     "vector_topk": f"WITH {_HITS} SELECT vec_id, round(score, 6) AS score, 'vector-store:' || vec_id AS citation, '' AS citation_error FROM hits",
     "vector_labels": f"WITH {_HITS} SELECT vec_id, coalesce(r_name, '') AS labels FROM hits LEFT JOIN region ON r_regionkey = label % 4",
+    "vector_topk_batch": f"WITH {_BATCH} SELECT query_id, vec_id, round(score, 6) AS score, 'vector-store:' || vec_id AS citation, '' AS citation_error FROM hits",
+    "vector_labels_batch": f"WITH {_BATCH} SELECT query_id, vec_id, coalesce(r_name, '') AS labels FROM hits LEFT JOIN region ON r_regionkey = label % 4",
     "nodes_by_label": "SELECT vec_id AS id, label FROM embeddings WHERE label = 3",
     "graph_upserts": "SELECT user_id AS source, day(ts)::int AS target, arg_max(event_type, event_id) AS label FROM events GROUP BY 1, 2",
     "evidence_answers": """SELECT o_custkey AS request, count(*) AS requested, count(*) FILTER (hit) AS found, CASE WHEN count(*) FILTER (hit) = 0 THEN 'no_answer' WHEN count(*) FILTER (hit) = count(*) THEN 'answered' ELSE 'partial' END AS outcome

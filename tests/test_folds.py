@@ -152,6 +152,20 @@ def test_vectors(spark):
     assert X.tampered(c, c.withColumn("score", F.lit(0.1)), "k").first()["tampered"] is False and X.tampered(c, c.withColumn("span", F.lit("t")), "k").first()["tampered"] is True
 
 
+@pytest.mark.parametrize("block", [3, 256])
+def test_batch_search_equals_single_searches(spark, block):
+    rng = random.Random(block)
+    rows = [(i, [float(rng.randrange(-2, 4)) for _ in range(3)]) for i in range(40)] + [(40, [0.0, 0.0, 0.0]), (41, [1.0]), (42, None), (43, []), (44, [1.0, None, 2.0])]
+    v = spark.createDataFrame(rows, "id bigint, e array<float>")
+    asked = [0, 7, 14, 40, 41, 42, 43, 44]
+    got = {}
+    for r in X.top_k_batch(v, "id", "e", v.filter(F.col("id").isin(asked)), 4, block).collect():
+        got.setdefault(r["query"], set()).add((r["id"], r["score"]))
+    assert set(got) == {0, 7, 14, 40, 41}
+    for i in (0, 7, 40, 41):
+        assert got[i] == {tuple(r) for r in X.top_k(v.filter("id < 44"), "id", "e", rows[i][1], 4).collect()}
+
+
 def test_link_rules(spark):
     df = spark.createDataFrame([("Закон в ред. от 2020 ФЗ согласно",), ("согласно статье",), ("ничего",), (None,)], "c string")
     k1, c1 = K.classify_first(F.col("c"))
