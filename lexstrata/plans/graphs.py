@@ -174,6 +174,29 @@ def membership_conflicts(spark: SparkSession, d: str) -> DataFrame:
     return T.membership_conflicts(_log(spark, d), F.lit("1997-06-01").cast("date"))
 
 
+def _order_log(spark: SparkSession, d: str, child: str = "o", parent: str = "c") -> DataFrame:
+    """Orders under customers, or customers under orders, by their own keys: each is attached on the order's day and detached
+    30 days later where the status is F."""
+    o = table(spark, d, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("o"), F.concat(F.lit("c"), "o_custkey").alias("c"), F.to_date("o_orderdate").alias("day"), "o_orderstatus")
+    keys = [F.col(parent).alias("parent"), F.col(child).alias("child")]
+    attached = o.select(F.lit("attach").alias("kind"), *keys, "day")
+    return attached.unionByName(o.filter("o_orderstatus = 'F'").select(F.lit("detach").alias("kind"), *keys, F.date_add("day", 30).alias("day")))
+
+
+def membership_fold_orders(spark: SparkSession, d: str) -> DataFrame:
+    return T.membership(_order_log(spark, d), F.lit("1997-06-01").cast("date"))
+
+
+def membership_conflicts_customers(spark: SparkSession, d: str) -> DataFrame:
+    """An order has one customer and no conflicts; a customer with several orders on a day has."""
+    return T.membership_conflicts(_order_log(spark, d, "c", "o"), F.lit("1997-06-01").cast("date"))
+
+
+def presence_fold_users(spark: SparkSession, d: str) -> DataFrame:
+    log = table(spark, d, "events").filter("event_type in ('view', 'click')").select(F.col("user_id").alias("expression"), F.floor("value").cast("bigint").alias("component"), F.when(F.col("event_type") == "view", "include").otherwise("exclude").alias("kind"), F.to_date("ts").alias("day"))
+    return T.presence(log, F.lit(AT).cast("date"))
+
+
 def presence_fold(spark: SparkSession, d: str) -> DataFrame:
     log = table(spark, d, "events").filter("event_type in ('view', 'click')").select((F.col("user_id") % 5).alias("expression"), (F.col("user_id") % 97).alias("component"), F.when(F.col("event_type") == "view", "include").otherwise("exclude").alias("kind"), F.to_date("ts").alias("day"))
     return T.presence(log, F.lit(AT).cast("date"))
@@ -257,6 +280,22 @@ def healed_drift(spark: SparkSession, d: str) -> DataFrame:
     return M.drift(expected, T.membership(healed, 30000), "child").select("missing")
 
 
+def _healed(log: DataFrame, name: str) -> DataFrame:
+    at = F.lit("1997-06-01").cast("date")
+    expected = log.filter("kind = 'attach'").groupBy("child").agg(F.min("parent").alias("parent"))
+    seen = log.filter(F.col("day") <= at)
+    now = T.membership(seen, at)
+    days = seen.withColumn("day", F.datediff("day", F.lit("1970-01-01").cast("date")))
+    left = M.drift(expected, T.membership(M.heal(days, expected, now.select("child"), 20000), 30000), "child")
+    return M.drift(expected, now, "child").select(F.lit(name).alias("log"), F.col("missing").alias("absent")).crossJoin(left.select("missing"))
+
+
+def healed_drift_all(spark: SparkSession, d: str) -> DataFrame:
+    """Children absent at the day and children missing after healing, of all that are ever attached. Those with a conflict
+    count as well: membership leaves them out, so healing can't bring them back."""
+    return _healed(_order_log(spark, d), "orders").unionByName(_healed(_order_log(spark, d, "c", "o"), "customers"))
+
+
 def forest_roots(spark: SparkSession, d: str) -> DataFrame:
     return M.forest_roots(_refines(spark, d))
 
@@ -278,6 +317,16 @@ def admitted_edges(spark: SparkSession, d: str) -> DataFrame:
     return M.admit(o, "doc").groupBy("doc", "outcome").agg(F.count("*").alias("n"))
 
 
+def admitted_edges_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Admission by supplier: each line proposes its part under the part of the line before it in its order."""
+    from pyspark.sql.window import Window as W
+
+    li = table(spark, d, "lineitem")
+    before = F.lag("l_partkey").over(W.partitionBy("l_orderkey").orderBy("l_linenumber"))
+    o = li.select(F.col("l_suppkey").alias("doc"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), F.concat(F.lit("p"), "l_partkey").alias("child"), F.concat(F.lit("p"), before).alias("parent"))
+    return M.admit(o.na.drop(subset=["parent"]), "doc").groupBy("doc", "outcome").agg(F.count("*").alias("n"))
+
+
 def registry_bindings(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "marker_bodies").filter("work_id is not null and number is not null and marker_level is not null").select("work_id", "marker_level", tidy("number").alias("number"), F.coalesce("title", F.lit("")).alias("title"))
     return M.registry(m, ["work_id", "marker_level", "number"], "title").select("work_id", "marker_level", "number", "outcome")
@@ -385,6 +434,7 @@ def intake_attempts(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     link_classes, link_scores, link_edges, link_observations, edition_link_counts, edition_link_deltas, catalog_latest, catalog_misses, document_groups, corpus_roles, cross_act_edges,
     vector_topk, vector_labels, vector_topk_batch, vector_labels_batch, nodes_by_label, graph_upserts, evidence_answers, status_as_of, status_at_orders, text_as_of, membership_fold, membership_conflicts, presence_fold,
+    membership_fold_orders, membership_conflicts_customers, presence_fold_users, healed_drift_all, admitted_edges_parts,
     region_tree, region_tree_pruned, status_structure, clock_anchors, marker_changes, text_changes, marker_changes_all, text_changes_all, structure_drift, healed_drift, forest_roots, edge_guards, dependency_closure, admitted_edges,
     registry_bindings, write_set_counts, registry_missing_ends, registry_untraced, registry_contradictions, registry_unchecked, registry_superseded, registry_evidence, registry_buckets,
     registry_matrix, registry_surfaces, registry_coverage, extractor_scores, conformance_rollup, status_rollup, chain_check, replay_outcomes, intake_attempts,
@@ -428,6 +478,27 @@ _FORCE = f"""WITH f AS (SELECT user_id, ts::date AS day, event_type FROM events
   st AS (SELECT user_id, CASE WHEN lo = hi THEN lo ELSE 'unknown' END AS status, CASE WHEN lo = hi THEN 'resolved' ELSE 'conflict' END AS outcome FROM l)"""
 _LOG = """log AS (SELECT CASE WHEN o_orderstatus = 'F' THEN 'detach' ELSE 'attach' END AS kind, 'c' || (o_custkey % 40) AS parent, 'o' || (o_orderkey % 5000) AS child, o_orderdate::date AS day FROM orders WHERE o_orderdate::date <= DATE '1997-06-01'),
   daily AS (SELECT child, day, min(parent) AS lo, max(parent) AS hi, count(DISTINCT parent) AS k FROM log WHERE kind = 'attach' GROUP BY 1, 2)"""
+
+
+def _order_sql(log: str, child: str, parent: str) -> str:
+    """CTEs {log}_log, its attaches by day and fold at the day, then the same with what is healed."""
+    keys = {"o": "'o' || o_orderkey", "c": "'c' || o_custkey"}
+
+    def fold(name: str, source: str) -> str:
+        return f"""{name}_daily AS (SELECT child, day, min(parent) AS lo, count(DISTINCT parent) AS k FROM {source} WHERE kind = 'attach' GROUP BY 1, 2), {name}_last AS (SELECT child, arg_max(lo, day) AS parent, max(day) AS since, bool_or(k > 1) AS bad FROM {name}_daily GROUP BY 1),
+  {name}_gone AS (SELECT child, parent, max(day) AS until FROM {source} WHERE kind = 'detach' GROUP BY 1, 2),
+  {name}_fold AS (SELECT l.child, l.parent FROM {name}_last l LEFT JOIN {name}_gone g ON g.child = l.child AND g.parent = l.parent WHERE NOT bad AND (until IS NULL OR until < since))"""
+
+    return f"""{log}_all AS (SELECT 'attach' AS kind, {keys[child]} AS child, {keys[parent]} AS parent, o_orderdate::date AS day FROM orders UNION ALL SELECT 'detach', {keys[child]}, {keys[parent]}, o_orderdate::date + 30 FROM orders WHERE o_orderstatus = 'F'),
+  {log}_log AS (SELECT * FROM {log}_all WHERE day <= DATE '1997-06-01'), {fold(log, log + '_log')},
+  {log}_due AS (SELECT child, min(parent) AS parent FROM {log}_all WHERE kind = 'attach' GROUP BY 1),
+  {log}_more AS (SELECT * FROM {log}_log UNION ALL SELECT 'attach', child, parent, DATE '2024-10-04' FROM {log}_due WHERE child NOT IN (SELECT child FROM {log}_fold)), {fold(log + '_healed', log + '_more')}"""
+
+
+def _healed_sql(log: str) -> str:
+    return f"SELECT '{log}' AS log, count(*) FILTER (child NOT IN (SELECT child FROM {log}_fold)) AS absent, count(*) FILTER (child NOT IN (SELECT child FROM {log}_healed_fold)) AS missing FROM {log}_due"
+
+
 _TREE = "WITH e AS (SELECT 'n' || n_nationkey AS child, 'r' || n_regionkey AS parent FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer), roots AS (SELECT DISTINCT parent AS node FROM e WHERE parent NOT IN (SELECT child FROM e))"
 _REFINES = f"(SELECT id, {_tid('from_id')} AS child, {_tid('to_id')} AS parent FROM valid_edges WHERE lower(trim(edge_type, {_WS})) = 'refines' AND id IS NOT NULL AND {_tid('from_id')} IS NOT NULL AND {_tid('to_id')} IS NOT NULL)"
 _ITEMS = f"items AS (SELECT * FROM (SELECT *, {_tid('id')} AS item_id, row_number() OVER (PARTITION BY {_tid('id')} ORDER BY recorded_at DESC NULLS LAST, id DESC, title DESC NULLS LAST) AS rn FROM valid_items) WHERE rn = 1 AND item_id IS NOT NULL)"
@@ -476,6 +547,11 @@ ORACLES: dict[str, str] = {
     "membership_fold": f"""WITH {_LOG}, l AS (SELECT child, arg_max(lo, day) AS parent, max(day) AS since, bool_or(k > 1) AS bad FROM daily GROUP BY 1)
       SELECT child, parent FROM l WHERE NOT bad AND NOT EXISTS (SELECT 1 FROM log d WHERE d.kind = 'detach' AND d.child = l.child AND d.parent = l.parent AND d.day >= l.since)""",
     "membership_conflicts": f"WITH {_LOG} SELECT day, child, k AS n_parents FROM daily WHERE k > 1",
+    "membership_fold_orders": f"WITH {_order_sql('orders', 'o', 'c')} SELECT child, parent FROM orders_fold",
+    "membership_conflicts_customers": f"WITH {_order_sql('customers', 'c', 'o')} SELECT day, child, k AS n_parents FROM customers_daily WHERE k > 1",
+    "presence_fold_users": f"""WITH d AS (SELECT user_id AS expression, floor(value)::bigint AS component, ts::date AS day, bool_or(event_type = 'view') AS i, bool_or(event_type = 'click') AS x FROM events WHERE event_type IN ('view', 'click') AND ts::date <= DATE '{AT}' GROUP BY 1, 2, 3)
+      SELECT expression, component, CASE WHEN i AND x THEN 'conflict' WHEN i THEN 'included' ELSE 'excluded' END AS outcome FROM (SELECT *, row_number() OVER (PARTITION BY expression, component ORDER BY day DESC) AS r FROM d) WHERE r = 1""",
+    "healed_drift_all": f"WITH {_order_sql('orders', 'o', 'c')}, {_order_sql('customers', 'c', 'o')} {_healed_sql('orders')} UNION ALL {_healed_sql('customers')}",
     "presence_fold": f"""WITH d AS (SELECT user_id % 5 AS expression, user_id % 97 AS component, ts::date AS day, bool_or(event_type = 'view') AS i, bool_or(event_type = 'click') AS x FROM events WHERE event_type IN ('view', 'click') AND ts::date <= DATE '{AT}' GROUP BY 1, 2, 3)
       SELECT expression, component, CASE WHEN i AND x THEN 'conflict' WHEN i THEN 'included' ELSE 'excluded' END AS outcome FROM (SELECT *, row_number() OVER (PARTITION BY expression, component ORDER BY day DESC) AS r FROM d) WHERE r = 1""",
     "region_tree": f"{_TREE} SELECT node, '' AS parent, node AS root, 0 AS depth FROM roots UNION ALL SELECT e.child, e.parent, e.parent, 1 FROM e JOIN roots ON roots.node = e.parent UNION ALL SELECT f.child, f.parent, e.parent, 2 FROM e JOIN roots ON roots.node = e.parent JOIN e f ON f.parent = e.child",
