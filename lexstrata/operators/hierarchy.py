@@ -1,7 +1,7 @@
 """Parent-child edges of unknown depth to full hierarchies.
 
 Method: bottom-up peeling. In each round the nodes without remaining children leave, telling their parents their height
-and subtree; reverse peel order then assigns root, depth and path; what cannot be peeled contains the cycles. Rounds run
+(not their subtree: ``closure`` lists descendants by doubling joins, sizes are left out); reverse peel order then assigns root, depth and path; what cannot be peeled contains the cycles. Rounds run
 as Spark jobs while many edges remain. Each removes at least all current leaves, so what is left shrinks to a thin core
 (long chains) after a few rounds; once at most ``local_edges`` edges remain, one task of that proven size finishes all
 their rounds, so the number of jobs does not follow the depth.
