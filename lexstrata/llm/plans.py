@@ -70,14 +70,20 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_segments(spark: SparkSession, d: str) -> DataFrame:
-    return _line_languages(spark, d, 60)
+    """Every line with enough letters and words for a language, however short; the 60 characters are p9_found's alone."""
+    return _line_languages(spark, d, 1)
 
 
 def p9_documents(spark: SparkSession, d: str) -> DataFrame:
-    """The language of most characters of each document's lines, with the share-weighted confidence and the label's language."""
-    by = _line_languages(spark, d, 20).groupBy("doc_id", "lang").agg(F.sum("n_chars").alias("n"), F.sum(F.col("n_chars") * F.col("confidence")).alias("w"))
+    """The language of most characters of each document's lines, with the share-weighted confidence and the label's language.
+    A document without a line of its own that tells is judged by its whole text."""
+    docs = table(spark, d, "documents")
+    model = train(docs, "doc_id", "text", "lang")
+    lines = materialise(line_languages(docs, "doc_id", "text", model, 20))
+    silent = docs.join(lines.select("doc_id").distinct(), "doc_id", "left_anti").withColumn("text", F.regexp_replace("text", r"[\r\n]+", " "))
+    by = lines.unionByName(line_languages(silent, "doc_id", "text", model, 1)).groupBy("doc_id", "lang").agg(F.sum("n_chars").alias("n"), F.sum(F.col("n_chars") * F.col("confidence")).alias("w"))
     best = by.groupBy("doc_id").agg(F.max(F.struct("n", "lang", "w")).alias("b"), F.sum("n").alias("all"))
-    labels = table(spark, d, "documents").groupBy("doc_id").agg(F.min(label_language("lang")).alias("label"))
+    labels = docs.groupBy("doc_id").agg(F.min(label_language("lang")).alias("label"))
     return best.join(labels, "doc_id", "left").select("doc_id", F.col("b.lang").alias("lang"), F.round(F.col("b.w") / F.col("all"), 6).alias("confidence"), F.coalesce("label", F.lit("")).alias("label"))
 
 

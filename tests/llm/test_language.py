@@ -2,6 +2,7 @@ from itertools import combinations
 
 import numpy as np
 
+from lexstrata.llm import plans
 from lexstrata.llm.language import LANGS, codewords, fit, label_language, line_languages, train
 
 LINES = {
@@ -47,6 +48,14 @@ def test_rows(spark):
     assert line_languages(empty, "doc_id", "text", train(empty, "doc_id", "text", "lang")).count() == 0
 
 
+def test_short_lines_and_headings(spark, tmp_path):
+    headings = "The registry keeper\r\nforwards the annexes\nand the outcome"
+    rows = [(1, LINES["en"] + "\nDie Sachbearbeitung bestätigt das Verzeichnis.", "en"), (2, headings, None), (3, "480,78 | 220,24\n12", None), (4, None, "ru"), (5, LINES["de"], "de")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {(r["doc_id"], r["line_no"], r["lang"]) for r in plans.p9_segments(spark, str(tmp_path)).collect()} == {(1, 0, "en"), (1, 1, "de"), (5, 0, "de")}
+    assert {(r["doc_id"], r["lang"], r["label"]) for r in plans.p9_documents(spark, str(tmp_path)).collect()} == {(1, "en", "en"), (2, "en", ""), (5, "de", "de")}
+
+
 def test_labels(spark):
     want = {"ru": "ru", "RUS": "ru", "ru-RU": "ru", "en_US": "en", " German ": "de", "fre": "fr", "deu": "de", "xx": None, "und": None, "": None, "n/a": None, "Russian": "ru", "-": None, "por": "pt", None: None}
     df = spark.createDataFrame([(k,) for k in want], "l string")
