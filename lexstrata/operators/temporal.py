@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .hierarchy import LOCAL_EDGES, hierarchy
 
 def status_as_of(events: DataFrame, key: str, day: str, status: str, at, requested: DataFrame | None = None) -> DataFrame:
     """(key, status, outcome) at a day. Two aggregations with map-side combination: by key and day, then by key, so a hot
@@ -71,13 +72,10 @@ def presence(log: DataFrame, at) -> DataFrame:
     return last.select("expression", "component", F.when(F.col("s.i") & F.col("s.x"), "conflict").when(F.col("s.i"), "included").otherwise("excluded").alias("outcome"))
 
 
-def tree(edges: DataFrame, local_edges: int | None = None) -> DataFrame:
+def tree(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(node, parent, root, depth, path) of a membership fold: roots are parents that are no children, children hang below
     them, and what lies on or only below a pure cycle is left out."""
-    from .hierarchy import LOCAL_EDGES, hierarchy
-
-    limit = LOCAL_EDGES if local_edges is None else local_edges
-    h = hierarchy(edges, local_edges=limit).filter("not on_cycle").select("node", "parent", "root", "depth", "path")
+    h = hierarchy(edges, local_edges=local_edges).filter("not on_cycle").select("node", "parent", "root", "depth", "path")
     roots = edges.select(F.col("parent").alias("root")).distinct().join(edges.select(F.col("child").alias("root")), "root", "left_anti")
     return h.join(roots, "root", "left_semi")
 

@@ -25,8 +25,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_nodes(spark: SparkSession, d: str) -> DataFrame:
-    h = hierarchy(refines(spark, d))
-    return h.select(F.col("node").alias("item_id"), F.col("parent").alias("parent_id"), "root", "depth", F.array_join("path", "/").alias("path"), "height", "on_cycle")
+    """Every item with its path, depth, root and the size of its subtree; items on cycles have '' and -1 there."""
+    h = hierarchy(refines(spark, d), sizes=True)
+    text = [F.coalesce(c, F.lit("")).alias(n) for c, n in ((F.col("parent"), "parent_id"), (F.col("root"), "root"), (F.array_join("path", "/"), "path"))]
+    return h.select(F.col("node").alias("item_id"), *text, F.coalesce("depth", F.lit(-1)).alias("depth"), F.coalesce("n_descendants", F.lit(-1)).cast("bigint").alias("n_descendants"), "on_cycle")
 
 
 def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
@@ -96,6 +98,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _WS = "chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||' '||chr(160)||chr(8195)||chr(8201)||chr(8239)||chr(12288)"
 _EDGE = f"""SELECT DISTINCT upper(trim(from_id, {_WS})) AS c, upper(trim(to_id, {_WS})) AS p FROM valid_edges
   WHERE lower(trim(edge_type, {_WS})) = 'refines' AND trim(from_id, {_WS}) <> '' AND trim(to_id, {_WS}) <> ''"""
+#: Least distances downwards; a pair keeps its first and so its least distance.
+_BELOW = f"""WITH RECURSIVE e AS ({_EDGE}), below AS (SELECT p AS a, c AS x, 1 AS k FROM e UNION SELECT r.a, e.c, r.k + 1 FROM below r JOIN e ON e.p = r.x
+    LEFT JOIN recurring.below o ON o.a = r.a AND o.x = e.c WHERE o.k IS NULL OR o.k > r.k + 1),
+  cyc AS (SELECT a AS n FROM below WHERE a = x), pairs AS (SELECT a, x, k FROM below WHERE a NOT IN (SELECT n FROM cyc))"""
+_BELOW = _BELOW.replace("below AS (", "below(a, x, k) USING KEY (a, x) AS (", 1)
+#: Least depths from the topmost ordinary items, then the parent of least depth and id.
+_PATHS = """nodes AS (SELECT c AS n FROM e UNION SELECT p FROM e), plain AS (SELECT * FROM e WHERE c NOT IN (SELECT n FROM cyc) AND p NOT IN (SELECT n FROM cyc)),
+  tops AS (SELECT n FROM nodes WHERE n NOT IN (SELECT n FROM cyc) AND n NOT IN (SELECT c FROM plain)),
+  walks AS (SELECT n, 0 AS k FROM tops UNION SELECT c, k + 1 FROM walks JOIN plain ON p = n), depths AS (SELECT n, min(k) AS k FROM walks GROUP BY n),
+  ups AS (SELECT c, min(p) AS p FROM plain JOIN depths a ON a.n = c JOIN depths b ON b.n = p WHERE b.k = a.k - 1 GROUP BY c),
+  path AS (SELECT n, '' AS parent_id, n AS root, n AS path, 0 AS depth FROM tops UNION ALL SELECT u.c, u.p, r.root, r.path || '/' || u.c, r.depth + 1 FROM path r JOIN ups u ON u.p = r.n)"""
 _SNAP = f"""WITH latest AS (SELECT * FROM (SELECT edition_number AS e, work_id AS w, trim(number, {_WS}) AS n, text,
     row_number() OVER (PARTITION BY edition_number, work_id, trim(number, {_WS}) ORDER BY loaded_at DESC NULLS LAST, article_id DESC) AS rn
     FROM article_texts WHERE number IS NOT NULL AND work_id IS NOT NULL AND edition_number IS NOT NULL) WHERE rn = 1),
@@ -115,6 +128,8 @@ _ENDS = f"""WITH items AS (SELECT upper(trim(id, {_WS})) AS i, recorded_at AS r,
 
 ORACLES: dict[str, str] = {
     "p2_found": f"WITH RECURSIVE e AS ({_EDGE}), reach AS (SELECT c, p FROM e UNION SELECT r.c, e.p FROM reach r JOIN e ON e.c = r.p) SELECT c AS item_id FROM reach WHERE c = p",
+    "p2_nodes": f"""{_BELOW}, {_PATHS} SELECT n AS item_id, parent_id, root, path, depth, (SELECT count(*) FROM pairs WHERE a = n) AS n_descendants, false AS on_cycle FROM path UNION ALL SELECT n, '', '', '', -1, -1, true FROM cyc""",
+    "p2_descendants": f"{_BELOW} SELECT a AS item_id, x AS descendant_id, k AS distance FROM pairs",
     "p5_found": f"{_SNAP} SELECT * FROM found WHERE change_kind IS NOT NULL",
     "p5_editions": f"""{_SNAP} SELECT edition_number, change_kind, count(*) AS n, coalesce(any_value(d), '') AS revision_date FROM found
       LEFT JOIN (SELECT edition_number, min(trim(revision_date, {_WS})) AS d FROM edition_summaries GROUP BY 1) USING (edition_number)
