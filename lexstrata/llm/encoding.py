@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from ..session import ship
 
 TOKENIZERS = "/opt/tokenizers"
+#: Vocabularies whose words PATTERN tells; the places at which ids are joined hold for that pattern alone.
+NAMES = ("byte_bpe_50k",)
 #: Fixed value: the word pattern of the byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WINDOW, MASK = 8, 511  # a chunk has 512 characters on average
@@ -167,6 +169,8 @@ def _runs(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
 def encode(df: DataFrame, doc_id: str, text: str, out: str = "ids", name: str = "byte_bpe_50k", folder: str = TOKENIZERS, keep: list[str] | None = None) -> DataFrame:
     """(doc_id, *keep, ids) or, with out='count', (doc_id, *keep, n_tokens) for every row. One shuffle of the texts by
     their hash, as a rebalance: adaptive execution splits the share of a text that holds many rows."""
+    if name not in NAMES:
+        raise ValueError(f"{name}: only vocabularies with the fixed word pattern can be encoded by chunks: {', '.join(NAMES)}")
     ship(df.sparkSession)
     keep = keep or []
     counts = out == "count"

@@ -3,14 +3,15 @@
 Method: error-correcting output codes. Each language has a codeword of 15 bits; for each bit one classifier over the
 character n-grams of words predicts it. A line's margins are decoded by loss-weighted distance to the codewords; where two
 codewords are nearly as close, the line is flagged as ambiguous. The classifiers are fitted by smoothed log odds on a
-bounded sample of labelled documents in rounds: lines that one round gives another language than their label are left out
+bounded sample of labelled documents (whole texts) in rounds: lines that one round gives another language than their label are left out
 of the next, so wrong labels and foreign lines do no harm.
 
 Scores belong to words, and a batch has far fewer distinct words than words: each distinct word is scored once and a line
 adds up its words. Terms and short quotations in another language are outvoted by the sentences around them.
 
 Defined results: lines end at a line feed, with or without a carriage return before it. Lines with few letters (figures,
-record data) or no words have no language. Null and empty texts give no rows.
+record data) or no words have no language: they have no row or, if asked for, one with 'none' and confidence 0. Blank lines,
+null and empty texts give no rows.
 """
 
 from __future__ import annotations
@@ -43,8 +44,8 @@ SEEDS = {
     "bg": "и в не на че с по как това от за да или при ако то така го всички те беше може също този само бяха който които между след се са е като със във към ще",
 }
 BITS, DIMS = 15, 1 << 15
-#: The sample: so many documents for each language, and so many characters of each.
-SAMPLE_DOCS, SAMPLE_CHARS = 250, 3000
+#: The sample that a model is fitted on: at most so many labelled documents for each language.
+SAMPLE_DOCS = 250
 MIN_CHARS = 60
 #: A line with fewer letters than this share of its characters without white space, or fewer words, has no language.
 LETTERS, WORDS = 0.5, 4
@@ -188,22 +189,23 @@ def _worded(lines: list[str]) -> np.ndarray:
 
 def train(df: DataFrame, doc_id: str, text: str, label: str, sample_docs: int = SAMPLE_DOCS) -> Model:
     """Fitted on at most ``sample_docs`` documents for each language, taken by the least hash of their id: first the ids
-    from the narrow columns, then the texts of these only."""
-    known = df.select(F.col(doc_id).alias("id"), label_language(label).alias("lang")).filter("lang is not null and id is not null")
+    from the narrow columns, then the whole texts of these only. Rows of one id count as one document, with the least of
+    its languages and texts, however many there are."""
+    known = df.select(F.col(doc_id).alias("id"), label_language(label).alias("lang")).filter("lang is not null and id is not null").groupBy("id").agg(F.min("lang").alias("lang"))
     order = W.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     picked = known.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= sample_docs).select("id", "lang")
     ids = df.sparkSession.createDataFrame(picked.collect(), "id bigint, lang string")  # at most 8 * sample_docs rows
-    texts = df.select(F.col(doc_id).alias("id"), F.substring(F.col(text), 1, SAMPLE_CHARS).alias("t")).filter("t is not null")
-    rows = texts.join(F.broadcast(ids), "id").select("t", "lang").collect()
+    texts = df.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).filter("t is not null")
+    rows = texts.join(F.broadcast(ids), "id").groupBy("id", "lang").agg(F.min("t").alias("t")).select("t", "lang").collect()  # one row an id
     found = [(x, LANGS.index(lang)) for t, lang in sorted(map(tuple, rows)) for x in _lines(t) if len(x) >= 30]
     good = _worded([x for x, _ in found]) if found else []  # all lines at once: the patterns are costly to compile
     found = [pair for pair, ok in zip(found, good) if ok]
     return fit([x for x, _ in found], [y for _, y in found])
 
 
-def line_languages(df: DataFrame, doc_id: str, text: str, model: Model, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_languages(df: DataFrame, doc_id: str, text: str, model: Model, min_chars: int = MIN_CHARS, every: bool = False) -> DataFrame:
     """(doc_id, line_no, n_chars, lang, confidence, ambiguous) for each line of at least ``min_chars`` characters with a
-    language. No shuffle."""
+    language, or with ``every`` for each such line that isn't blank. No shuffle."""
     ship(df.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int32()), ("n_chars", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64()), ("ambiguous", pa.bool_())])
     shared = df.sparkSession.sparkContext.broadcast((model.weights, model.scale))  # of fixed size: DIMS x BITS
@@ -213,10 +215,17 @@ def line_languages(df: DataFrame, doc_id: str, text: str, model: Model, min_char
         lines = [x for _, _, x in rows]
         keep = np.flatnonzero(_worded(lines)) if lines else np.zeros(0, np.int64)
         best, share, unsure = own.decode(own.margins([lines[i] for i in keep])) if len(keep) else (keep, keep.astype(float), keep.astype(bool))
+        tongues = names[best] if len(keep) else np.zeros(0, object)
+        if every:
+            told = dict(zip(keep.tolist(), range(len(keep))))
+            keep = np.array([i for i, x in enumerate(lines) if i in told or x.strip()], np.int64)
+            at = [told.get(i) for i in keep.tolist()]
+            tongues = ["none" if k is None else tongues[k] for k in at]
+            share, unsure = np.array([0.0 if k is None else share[k] for k in at]), np.array([k is not None and bool(unsure[k]) for k in at], bool)
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([rows[i][0] for i in keep], pa.int64()), pa.array([rows[i][1] for i in keep], pa.int32()), pa.array([len(lines[i]) for i in keep], pa.int32()),
-                pa.array(names[best] if len(keep) else [], pa.string()), pa.array(np.round(share.astype(float), 6)), pa.array(unsure),
+                pa.array(tongues, pa.string()), pa.array(np.round(share.astype(float), 6), pa.float64()), pa.array(unsure, pa.bool_()),
             ],
             schema=schema,
         )

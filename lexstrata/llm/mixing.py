@@ -2,8 +2,8 @@
 
 Method: golden-ratio points (slot * phi mod 1) run through the cumulative target shares and give each slot of the mix a
 source, so that every stretch of the mix has nearly the target shares. The slots of a source are ranked; rank r stands for
-tokens [r * block, (r + 1) * block) of that source's documents in shuffled order, laid end to end and begun again after
-each pass. A document belongs to the block in which it starts. The size of the mix is the largest at which no source needs
+tokens [r * block, (r + 1) * block) of that source's documents, laid end to end and begun again after each pass, every
+pass in another shuffled order. A document belongs to the block in which it starts. The size of the mix is the largest at which no source needs
 more than its capped number of passes, so the shares are reached and the cap is never passed; a smaller size can be asked for.
 
 Ranks and offsets are prefix sums in two levels (hash or slot ranges, then within a range), so a source with a third of all
@@ -26,8 +26,8 @@ from ..session import materialise
 
 #: Fixed value: 2^32 divided by the golden ratio, odd, so that the points of 2^32 slots are all different.
 GOLDEN = 2654435769
-#: Ranges of the first level of prefix sums.
-RANGES = 256
+#: Rows that one range of the prefix sums holds on average; there are as many ranges as the rows need.
+RANGE_ROWS = 50_000
 
 
 @dataclass(frozen=True)
@@ -40,9 +40,9 @@ def _prefix(df: DataFrame, group: list[str], range_col: str, order: list[str | C
     """Exclusive prefix sums of ``value`` by group in the order (range_col, order)."""
     sums = df.groupBy(*group, range_col).agg(F.sum(value).alias("__s"))
     ahead = W.partitionBy(*group).orderBy(range_col).rowsBetween(W.unboundedPreceding, -1)
-    start = sums.select(*group, range_col, F.coalesce(F.sum("__s").over(ahead), F.lit(0)).alias("__base"))  # at most RANGES rows a group
+    start = sums.select(*group, range_col, F.coalesce(F.sum("__s").over(ahead), F.lit(0)).alias("__base"))  # one row a range
     within = W.partitionBy(*group, range_col).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    return df.withColumn("__in", F.coalesce(F.sum(value).over(within), F.lit(0))).join(F.broadcast(start), [*group, range_col]).withColumn(name, F.col("__base") + F.col("__in")).drop("__in", "__base")
+    return df.withColumn("__in", F.coalesce(F.sum(value).over(within), F.lit(0))).join(start, [*group, range_col]).withColumn(name, F.col("__base") + F.col("__in")).drop("__in", "__base")
 
 
 def mix(counts: DataFrame, targets: DataFrame, seed: int = 1, total_tokens: int | None = None, block_tokens: int | None = None) -> Mix:
@@ -50,8 +50,9 @@ def mix(counts: DataFrame, targets: DataFrame, seed: int = 1, total_tokens: int
     source). ``block_tokens``: size of a block; by default a 1/64 of the smallest source, 256 to 65,536."""
     spark = counts.sparkSession
     wanted = targets.filter("source is not null").groupBy("source").agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("cap")).collect()  # settings: one row a source
-    docs = materialise(counts.filter("source is not null and doc_id is not null").select(F.col("doc_id").alias("doc_id"), "source", F.col("n_tokens").cast("bigint").alias("n"), F.xxhash64(F.lit(seed), "source", "doc_id").alias("h")))
-    have = {r["source"]: (r["t"] or 0) for r in docs.groupBy("source").agg(F.sum("n").alias("t")).join(F.broadcast(targets.select("source").distinct()), "source", "left_semi").collect()}  # one row a target
+    docs = materialise(counts.filter("source is not null and doc_id is not null").select(F.col("doc_id").alias("doc_id"), "source", F.col("n_tokens").cast("bigint").alias("n")))
+    sized = [(r["source"], r["t"] or 0, r["k"]) for r in docs.groupBy("source").agg(F.sum("n").alias("t"), F.count("*").alias("k")).join(F.broadcast(targets.select("source").distinct()), "source", "left_semi").collect()]  # one row a target
+    have, rows_of = {s: t for s, t, _ in sized}, max((k for _, _, k in sized), default=0)
     use = sorted((r["source"], float(r["share"]), int(r["cap"])) for r in wanted if r["share"] and r["share"] > 0 and r["cap"] and r["cap"] > 0 and have.get(r["source"], 0) > 0)
     whole = sum(s for _, s, _ in use)
     size = min((have[s] * cap * whole / share for s, share, cap in use), default=0)
@@ -71,21 +72,19 @@ def mix(counts: DataFrame, targets: DataFrame, seed: int = 1, total_tokens: int
     pick = F.lit(bounds[-1][0]) if bounds else F.lit("")
     for source, upto in reversed(bounds[:-1]):
         pick = F.when(point < upto, F.lit(source)).otherwise(pick)
-    width = max(1, -(-slots // RANGES))
-    schedule = spark.range(slots).select(F.col("id").alias("slot"), F.floor(F.col("id") / width).alias("rng")).withColumn("source", pick)
+    schedule = spark.range(slots).select(F.col("id").alias("slot"), F.floor(F.col("id") / RANGE_ROWS).alias("rng")).withColumn("source", pick)
     ranked = _prefix(schedule, ["source"], "rng", ["slot"], F.lit(1), "block")
     limits = spark.createDataFrame([(s, have[s], have[s] * c // block) for s, _, c in use], "source string, total bigint, blocks bigint")
     ranked = ranked.join(F.broadcast(limits), "source").filter(F.col("block") < F.greatest("blocks", F.lit(1)))
     ranked = ranked.select("slot", "source", "block", "total")
     # Offsets of the shuffled documents in their source's pass.
-    placed = docs.join(F.broadcast(limits), "source").withColumn("rng", F.shiftright(F.col("h"), 56))
-    placed = _prefix(placed, ["source"], "rng", ["h", "doc_id"], F.col("n"), "off").select("doc_id", "source", "n", "off", "total")
-    passes = {s: c for s, _, c in use}
-    most = F.lit(0)
-    for s, c in passes.items():
-        most = F.when(F.col("source") == s, c).otherwise(most)
-    # A document occurs once in each pass; only blocks that the schedule holds keep it.
-    spread = placed.withColumn("pass_no", F.explode(F.sequence(F.lit(0), most - 1)))
+    # A document occurs once in each pass that the schedule uses; only blocks that it holds keep it.
+    used = ranked.groupBy("source").agg(F.max("block").alias("b")).collect()  # one row a source
+    limits = spark.createDataFrame([(r["source"], have[r["source"]], min(dict((s, c) for s, _, c in use)[r["source"]], int((r["b"] + 1) * block - 1) // have[r["source"]] + 1)) for r in used], "source string, total bigint, passes int")
+    bits = max(0, (rows_of // RANGE_ROWS).bit_length())
+    spread = docs.join(F.broadcast(limits), "source").withColumn("pass_no", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)))
+    spread = spread.withColumn("h", F.xxhash64(F.lit(seed), "pass_no", "source", "doc_id")).withColumn("rng", F.shiftright(F.col("h"), 64 - bits) if bits else F.lit(0))
+    spread = _prefix(spread, ["source", "pass_no"], "rng", ["h", "doc_id"], F.col("n"), "off")
     spread = spread.withColumn("block", F.floor((F.col("pass_no") * F.col("total") + F.col("off")) / F.lit(block)))
     rows = ranked.drop("total").join(spread, ["source", "block"]).select("slot", "source", "block", "pass_no", "doc_id", F.col("n").alias("n_tokens"))
     by_doc = rows.groupBy("source", "doc_id").agg(F.count("*").alias("k"), F.sum("n_tokens").alias("n"), F.max("pass_no").alias("p"))

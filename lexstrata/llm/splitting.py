@@ -30,7 +30,8 @@ SHORT = frozenset("ст п пп ч гл ред г гг см т им руб ко
 ORDINAL = frozenset("am vom zum der dem den des im".split())
 _BLANK = re.compile(r"\r?\n(?:[^\S\n]*\r?\n)+")
 _LINE = re.compile(r"\n")
-_SENTENCE = re.compile(r"[.!?…。！？]+[)\]»”\"'’]*\s+(?=[«„“\"'(\[–—-]*\s*[^\W_])")
+#: Possessive, and only from the first sign of a run, so that no run is read more than twice.
+_SENTENCE = re.compile(r"(?<![.!?…。！？])[.!?…。！？]++[)\]»”\"'’]*+\s++(?=[«„“\"'(\[–—-]*+\s*+[^\W_])")
 _CLAUSE = re.compile(r"[;:,]\s+")
 _WORD = re.compile(r"\s+")
 _LAST_WORD = re.compile(r"([^\W_]+)\W*\Z")
@@ -39,7 +40,7 @@ _LAST_WORD = re.compile(r"([^\W_]+)\W*\Z")
 def _sentence_ends(text: str) -> list[int]:
     out = []
     for m in _SENTENCE.finditer(text):
-        if text[m.start()] == "." and m.start() + 1 == len(text[: m.start() + 1]):
+        if text[m.start()] == ".":
             before = text[max(0, m.start() - 24) : m.start()]
             word = _LAST_WORD.search(before)
             w = word.group(1).lower() if word and word.end() == len(before) else ""

@@ -52,8 +52,27 @@ def test_short_lines_and_headings(spark, tmp_path):
     headings = "The registry keeper\r\nforwards the annexes\nand the outcome"
     rows = [(1, LINES["en"] + "\nDie Sachbearbeitung bestätigt das Verzeichnis.", "en"), (2, headings, None), (3, "480,78 | 220,24\n12", None), (4, None, "ru"), (5, LINES["de"], "de")]
     spark.createDataFrame(rows, "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert {(r["doc_id"], r["line_no"], r["lang"]) for r in plans.p9_segments(spark, str(tmp_path)).collect()} == {(1, 0, "en"), (1, 1, "de"), (5, 0, "de")}
-    assert {(r["doc_id"], r["lang"], r["label"]) for r in plans.p9_documents(spark, str(tmp_path)).collect()} == {(1, "en", "en"), (2, "en", ""), (5, "de", "de")}
+    assert {(r["doc_id"], r["line_no"], r["lang"]) for r in plans.p9_segments(spark, str(tmp_path)).collect()} == {(1, 0, "en"), (1, 1, "de"), (2, 0, "none"), (2, 1, "none"), (2, 2, "none"), (3, 0, "none"), (3, 1, "none"), (5, 0, "de")}
+    assert {(r["doc_id"], r["lang"], r["label"]) for r in plans.p9_documents(spark, str(tmp_path)).collect()} == {(1, "en", "en"), (2, "en", ""), (3, "none", ""), (4, "none", "ru"), (5, "de", "de")}
+
+
+def test_unclear_texts_are_flagged(spark):
+    lines = [x for lang in LANGS for x in [LINES[lang]] * 3]
+    m = fit(lines, [LANGS.index(lang) for lang in LANGS for _ in range(3)])
+    words = {lang: LINES[lang].split() for lang in LANGS}
+    rows = [(k, " ".join(words[a][:k] + words[b][: 16 - k])) for k in range(4, 13) for a, b in (("es", "pt"),)]
+    got = line_languages(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text", m, 1).collect()
+    unclear = [r for r in got if r["ambiguous"]]
+    assert unclear and all(r["confidence"] < 0.7 for r in unclear) and len(unclear) < len(got)
+    _, confidence, unsure = m.decode(np.zeros((1, 15)))
+    assert unsure[0] and confidence[0] < 0.2
+
+
+def test_copies_of_one_id_are_one_document(spark):
+    rows = [(1, LINES["en"], "en")] * 60 + [(2, LINES["de"], "de"), (3, LINES["fr"] * 400, "fr")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = train(df, "doc_id", "text", "lang", sample_docs=2)
+    assert {r["lang"] for r in line_languages(df, "doc_id", "text", model).collect()} == {"en", "de", "fr"}
 
 
 def test_labels(spark):

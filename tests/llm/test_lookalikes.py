@@ -3,7 +3,7 @@ import unicodedata
 
 import pytest
 
-from lexstrata.llm.lookalikes import SHAPES, consistent_form, form_keys, forms, lookalike_pairs
+from lexstrata.llm.lookalikes import SHAPES, consistent_form, form_keys, forms, lookalike_classes, lookalike_pairs
 
 SAME = [
     ("орган", "opган"), ("сора", "copa"), ("Ведущий", "Bедущий"), ("ёлка", "ёлка"), ("ёлка", "ëлка"), ("ёлка", "ëлка"), ("район", "район"), ("ў", "y̆"),
@@ -23,6 +23,25 @@ def test_other_look(a, b):
     assert consistent_form(a) != consistent_form(b)
 
 
+@pytest.mark.parametrize("a,b", [("\u03f2\u03bf", "co"), ("\u03f9", "C"), ("\u03f3", "j"), ("\u0475", "v"), ("\u0474", "V"), ("\u04c0", "I"), ("\u04cf", "l"), ("\u050c", "G"), ("\u04ae", "Y"), ("\u04ae", "\u0423")])
+def test_rarer_letters_of_one_shape(a, b):
+    assert consistent_form(a) == consistent_form(b)
+
+
+def test_mixed_and_whole_script_tokens_are_counted(spark):
+    rows = [(1, "\u0414ep\u0436a\u0442\u0435\u043b\u044c \u0441\u043e\u0440\u0430 \u043b\u0438\u0441\u0442"), (2, "plain words 12"), (3, None)]
+    got = {r["row_id"]: (r["n_mixed"], r["n_whole"]) for r in forms(spark.createDataFrame(rows, "i bigint, t string"), "i", "t").collect()}
+    assert got == {1: (1, 1), 2: (0, 0), 3: (0, 0)}
+
+
+def test_copies_make_no_candidates_and_classes_have_the_size_of_the_rows(spark):
+    rows = [(i, "w", "\u0441\u043e\u0440\u0430") for i in range(40)] + [(100, "w", "copa"), (101, "w", "\u0441opa"), (102, "w", "other")]
+    keys = form_keys(spark.createDataFrame(rows, "i bigint, g string, t string"), "i", "g", "t")
+    assert lookalike_pairs(keys, ["grp"]).count() == 40 * 2 + 1
+    got = lookalike_classes(keys, ["grp"]).collect()
+    assert len(got) == 42 and {(r["class_id"], r["n_rows"], r["n_spellings"]) for r in got} == {(0, 42, 3)}
+
+
 def test_the_consistent_script_is_chosen():
     assert consistent_form("Держатель пepeчня") == "Держатель перечня"
     assert consistent_form("the сору of рареr") == "the copy of paper"

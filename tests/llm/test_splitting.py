@@ -1,6 +1,7 @@
 import random
+import time
 
-from lexstrata.llm.splitting import spans, split
+from lexstrata.llm.splitting import _sentence_ends, spans, split
 
 SENTENCE = "Держатель перечня утверждает опись вложений в порядке, предусмотренном частью 5. "
 
@@ -36,6 +37,14 @@ def test_one_long_word_and_exact_limit():
     assert len(check("я" * 50_000)) > 25
 
 
+def test_long_texts_take_time_in_proportion():
+    began = time.time()
+    assert len(_sentence_ends(SENTENCE * 50_000)) == 50_000 - 1  # 4 M characters
+    for run in (".", " ", ". ", "\n ", "!)"):
+        _sentence_ends(run * 500_000)
+    assert time.time() - began < 8
+
+
 def test_rows(spark):
     rows = [(1, None, "a"), (2, "", "b"), (3, "x" * 2000, "c"), (4, SENTENCE * 60, "d"), (4, SENTENCE * 60, "d"), (None, SENTENCE * 40, "e")]
     df = spark.createDataFrame(rows, "row_id bigint, t string, piece string")
