@@ -1,8 +1,9 @@
 """References to records that do not exist.
 
 Method: references of composite keys are grouped by their null mask; each mask is anti-joined on its non-null columns
-under the declared match semantics. Where records have a validity, the references that find a key are followed by an
-as-of check in two levels (days, then moments within a day), so that a much-used key is spread over its days.
+under the declared match semantics. Where records have a validity, the join brings the records of a key (at most FEW) to its
+references, so that one shuffle of each side tells missing, deleted and late ones apart. Keys of more records go through a
+sweep over the moments asked for, in three levels, so that neither they nor a bulk load fill one task.
 
 Match semantics (those of SQL foreign keys)
   simple   a reference with any null column refers to nothing and is in order
@@ -22,6 +23,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from ..session import materialise
+
+#: Records of one key that may travel in one row; keys with more are swept, with the same results.
+FEW = 64
 
 def _mask(cols: list[str], present: tuple[bool, ...]) -> Column:
     out = F.lit(True)
@@ -63,25 +68,30 @@ def orphans(refs: DataFrame, ref_cols: list[str], targets: DataFrame, target_col
 
 
 def _as_of(refs: DataFrame, targets: DataFrame, on: list[str]) -> DataFrame:
-    """refs (on, __t, others) with ``__live`` (a record valid at __t) and ``__known`` (one recorded by then)."""
-    payload = [c for c in refs.columns if c not in on and c != "__t"]
+    """refs (on, __t, others) with ``__live`` (a record valid at __t) and ``__known`` (one recorded by then), for keys of many
+    records. The moments at which a key is referred to are swept with its records in three levels (days, minutes, moments),
+    so that neither a much-used key nor a bulk load fills one task; then each reference takes its moment's answer."""
     never = F.lit("0001-01-01").cast("timestamp_ntz")
-    empty = F.lit(None).cast(T.StructType([refs.schema[c] for c in payload]))
-    r = refs.select(*on, F.coalesce("__t", never).alias("at"), F.lit(0).alias("live"), F.lit(0).alias("known"), F.lit(1).alias("is_ref"), F.struct(*payload).alias("row"))
+    timed = refs.withColumn("__at", F.coalesce("__t", never))
+    asked = timed.select(*on, F.col("__at").alias("at")).distinct().select(*on, "at", F.lit(0).alias("live"), F.lit(0).alias("known"), F.lit(1).alias("is_ref"))
     real = targets.filter("__start is not null")
     counts = F.when(F.col("__end").isNull() | (F.col("__end") > F.col("__start")), 1).otherwise(0)
-    begin = real.select(*on, F.col("__start").alias("at"), counts.alias("live"), F.lit(1).alias("known"), F.lit(0).alias("is_ref"), empty.alias("row"))
-    end = real.filter("__end > __start").select(*on, F.col("__end").alias("at"), F.lit(-1).alias("live"), F.lit(0).alias("known"), F.lit(0).alias("is_ref"), empty.alias("row"))
-    events = r.unionByName(begin).unionByName(end).withColumn("day", F.to_date("at"))
-    # First level: what each key brings into a day, over one row for each key and day.
-    before = W.partitionBy(*on).orderBy("day").rowsBetween(W.unboundedPreceding, -1)
-    days = events.groupBy(*on, "day").agg(F.sum("live").alias("l"), F.sum("known").alias("k"))
-    carried = days.select(*on, "day", F.coalesce(F.sum("l").over(before), F.lit(0)).alias("l0"), F.coalesce(F.sum("k").over(before), F.lit(0)).alias("k0"))
-    # Second level: moments within the day; records of the same moment come before references.
-    within = W.partitionBy(*on, "day").orderBy("at", "is_ref").rowsBetween(W.unboundedPreceding, 0)
-    swept = events.withColumns({"l1": F.sum("live").over(within), "k1": F.sum("known").over(within)}).filter("is_ref = 1")
-    joined = swept.join(carried, [*on, "day"])
-    return joined.select(*[F.col(f"row.`{c}`").alias(c) for c in payload], (F.col("l0") + F.col("l1") > 0).alias("__live"), (F.col("k0") + F.col("k1") > 0).alias("__known"))
+    begin = real.select(*on, F.col("__start").alias("at"), counts.alias("live"), F.lit(1).alias("known"), F.lit(0).alias("is_ref"))
+    end = real.filter("__end > __start").select(*on, F.col("__end").alias("at"), F.lit(-1).alias("live"), F.lit(0).alias("known"), F.lit(0).alias("is_ref"))
+    moments = asked.unionByName(begin.unionByName(end).groupBy(*on, "at", "is_ref").agg(F.sum("live").alias("live"), F.sum("known").alias("known")).select(*asked.columns))
+    moments = moments.withColumns({"day": F.to_date("at"), "minute": F.date_trunc("minute", "at")})
+
+    def carried(rows: DataFrame, by: list[str], order: str, l: str, k: str) -> DataFrame:
+        before = W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+        return rows.select(*by, order, F.coalesce(F.sum("l").over(before), F.lit(0)).alias(l), F.coalesce(F.sum("k").over(before), F.lit(0)).alias(k))
+
+    minutes = moments.groupBy(*on, "day", "minute").agg(F.sum("live").alias("l"), F.sum("known").alias("k"))
+    days = minutes.groupBy(*on, "day").agg(F.sum("l").alias("l"), F.sum("k").alias("k"))
+    base = carried(minutes, [*on, "day"], "minute", "l1", "k1").join(carried(days, on, "day", "l0", "k0"), [*on, "day"])
+    within = W.partitionBy(*on, "day", "minute").orderBy("at", "is_ref").rowsBetween(W.unboundedPreceding, 0)  # records of a moment come before references
+    swept = moments.withColumns({"l2": F.sum("live").over(within), "k2": F.sum("known").over(within)}).filter("is_ref = 1").join(base, [*on, "day", "minute"])
+    answers = swept.select(*on, F.col("at").alias("__at"), (F.col("l0") + F.col("l1") + F.col("l2") > 0).alias("__live"), (F.col("k0") + F.col("k1") + F.col("k2") > 0).alias("__known"))
+    return timed.join(answers, [*on, "__at"])
 
 
 def orphans_as_of(
@@ -103,10 +113,18 @@ def orphans_as_of(
             found = part.select(*keep, F.lit("missing").alias("kind"))
         else:
             on = [n for n, p in zip(names, present) if p]
-            keys = t.select(*on).na.drop().distinct()
-            missing = part.join(keys, on, "left_anti").select(*keep, F.lit("missing").alias("kind"))
-            held = part.join(keys, on, "left_semi").select(*on, "__t", *keep)
-            state = _as_of(held, t.na.drop(subset=on), on).filter("not __live")
-            found = missing.unionByName(state.select(*keep, F.when(F.col("__known"), "deleted").otherwise("late").alias("kind")))
+            keyed = t.na.drop(subset=on)
+            heavy = materialise(keyed.groupBy(*on).agg(F.count("*").alias("n")).filter(F.col("n") > FEW).select(*on))
+            rest, light = part, keyed
+            if busy := not heavy.isEmpty():
+                rest, light = part.join(heavy, on, "left_anti"), keyed.join(heavy, on, "left_anti")
+            # Of each key at most FEW records: one join answers all its references.
+            spans = light.groupBy(*on).agg(F.min("__start").alias("__first"), F.collect_list(F.struct("__start", "__end")).alias("__spans"))
+            live = F.exists("__spans", lambda s: (s["__start"] <= F.col("__t")) & (s["__end"].isNull() | (s["__end"] > F.col("__t"))))
+            kind = F.when(F.col("__spans").isNull(), "missing").when(F.col("__first") <= F.col("__t"), "deleted").otherwise("late")
+            found = rest.join(spans, on, "left").filter(~F.coalesce(live, F.lit(False))).select(*keep, kind.alias("kind"))
+            if busy:
+                state = _as_of(part.join(heavy, on, "left_semi"), keyed.join(heavy, on, "left_semi"), on).filter("not __live")
+                found = found.unionByName(state.select(*keep, F.when(F.col("__known"), "deleted").otherwise("late").alias("kind")))
         out = found if out is None else out.unionByName(found)
     return out

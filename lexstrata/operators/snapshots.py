@@ -3,7 +3,8 @@
 Method: content-defined chunks of key-sorted snapshots. Each key goes to one task with all its snapshots, and every task
 sorts its share of each snapshot by key. A chunk ends after a key whose hash has its low bits zero, so equal stretches of
 two snapshots fall into equal chunks whatever was inserted before them. Chunks whose digest (keys and content) occurs in
-both neighbours are discarded; only rows of unmatched chunks are joined to classify changes. Content travels as a 128-bit
+both neighbours are discarded; only rows of unmatched chunks are joined to classify changes, in the task that holds both
+sides already. Content travels as a 128-bit
 hash, the text itself never leaves the scan.
 
 Defined results
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,18 +64,25 @@ def changes(df: DataFrame, snapshot: str, keys: list[str], content: str, loaded:
     latest = rows.groupBy("snap", *names).agg(F.max_by(F.struct("h1", "h2"), "w").alias("h")).select("snap", *names, "h.h1", "h.h2", F.xxhash64(*names).alias("kh")).repartition(*names)
     snaps = [r[0] for r in df.select(F.col(snapshot).cast("int")).na.drop().distinct().sort(snapshot).collect()]  # one value a snapshot
     following = dict(zip(snaps, snaps[1:]))
-    schema = pa.schema([("snap", pa.int32()), *[(n, pa.string()) for n in names], ("side", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())])
+    schema = pa.schema([("snap", pa.int32()), *[(n, pa.string()) for n in names], ("kind", pa.string())])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Rows come sorted by snapshot, then key; of a share of the keys two neighbouring snapshots are held at a time.
         held: list[pa.RecordBatch] = []
         before: tuple[int, pa.Table, np.ndarray, np.ndarray] | None = None
 
-        def emit(snap: int, t: pa.Table, mask: np.ndarray, side: int) -> Iterator[pa.RecordBatch]:
-            t = t.filter(pa.array(mask))
+        def emit(snap: int, t: pa.Table, kinds: pa.Array | str) -> Iterator[pa.RecordBatch]:
             if t.num_rows:
-                out = pa.Table.from_arrays([pa.array(np.full(t.num_rows, snap, np.int32)), *[t[n] for n in names], pa.array(np.full(t.num_rows, side, np.int32)), t["h1"], t["h2"]], schema=schema)
-                yield from out.to_batches()
+                kinds = pa.array([kinds] * t.num_rows) if isinstance(kinds, str) else kinds
+                yield from pa.Table.from_arrays([pa.array(np.full(t.num_rows, snap, np.int32)), *[t[n] for n in names], kinds], schema=schema).to_batches()
+
+        def classify(snap: int, old: pa.Table, new: pa.Table) -> Iterator[pa.RecordBatch]:
+            sides = [t.select([*names, "h1", "h2"]).append_column("here", pa.array(np.ones(t.num_rows, bool))) for t in (old, new)]
+            both = sides[0].join(sides[1], names, join_type="full outer", left_suffix="_o", right_suffix="_n")
+            gone, fresh = pc.is_null(both["here_n"]), pc.is_null(both["here_o"])
+            other = pc.fill_null(pc.or_(pc.not_equal(both["h1_o"], both["h1_n"]), pc.not_equal(both["h2_o"], both["h2_n"])), True)
+            kinds = pc.if_else(fresh, "added", pc.if_else(gone, "removed", "changed"))
+            yield from emit(snap, both.filter(other), kinds.filter(other))
 
         def close(snap: int) -> Iterator[pa.RecordBatch]:
             nonlocal before
@@ -83,13 +92,12 @@ def changes(df: DataFrame, snapshot: str, keys: list[str], content: str, loaded:
             content = _mix(t["h1"].to_numpy().view(np.uint64)) + t["h2"].to_numpy().view(np.uint64)
             digests, each = _digests(kh, content, chunk_rows)
             if before is not None and following.get(before[0]) == snap:
-                yield from emit(snap, before[1], ~np.isin(before[3], digests), 0)
-                yield from emit(snap, t, ~np.isin(each, before[2]), 1)
+                yield from classify(snap, before[1].filter(pa.array(~np.isin(before[3], digests))), t.filter(pa.array(~np.isin(each, before[2]))))
             else:
                 if before is not None and before[0] in following:  # this share has no rows in the snapshot between
-                    yield from emit(following[before[0]], before[1], np.ones(before[1].num_rows, bool), 0)
+                    yield from emit(following[before[0]], before[1], "removed")
                 if snap != snaps[0]:
-                    yield from emit(snap, t, np.ones(t.num_rows, bool), 1)
+                    yield from emit(snap, t, "added")
             before = (snap, t, digests, each)
 
         current = None
@@ -105,11 +113,8 @@ def changes(df: DataFrame, snapshot: str, keys: list[str], content: str, loaded:
         if current is not None:
             yield from close(current)
         if before is not None and before[0] in following:
-            yield from emit(following[before[0]], before[1], np.ones(before[1].num_rows, bool), 0)
-
-    kinds = "snap int, " + "".join(f"{n} string, " for n in names) + "side int, h1 bigint, h2 bigint"
-    unmatched = latest.sortWithinPartitions("snap", *names).mapInArrow(compare, kinds)
-    # The join of both sides as one aggregation: a key has at most one row a side.
-    both = unmatched.groupBy("snap", *names).agg(*[F.max(F.when(F.col("side") == s, F.struct("h1", "h2"))).alias(f"s{s}") for s in (0, 1)])
-    kind = F.when(F.col("s0").isNull(), "added").when(F.col("s1").isNull(), "removed").when(F.col("s0") != F.col("s1"), "changed")
-    return both.select(F.col("snap").alias(snapshot), *[F.col(n).alias(k) for n, k in zip(names, keys)], kind.alias("change_kind")).filter("change_kind is not null")
+            yield from emit(following[before[0]], before[1], "removed")
+
+    kinds = "snap int, " + "".join(f"{n} string, " for n in names) + "kind string"
+    changed = latest.sortWithinPartitions("snap", *names).mapInArrow(compare, kinds)
+    return changed.select(F.col("snap").alias(snapshot), *[F.col(n).alias(k) for n, k in zip(names, keys)], F.col("kind").alias("change_kind"))

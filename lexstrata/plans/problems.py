@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import tidy, tidy_id
 from ..operators.hierarchy import closure, cycle_nodes, hierarchy
 from ..operators.nested import TABLES, flatten
-from ..operators.references import orphans_as_of
+from ..operators.references import orphans, orphans_as_of
 from ..operators.snapshots import changes
 from ..session import table
 
@@ -63,13 +63,12 @@ def _ends(spark: SparkSession, d: str) -> DataFrame:
     """Both ends of every edge, from one scan."""
     e = table(spark, d, "valid_edges").select(F.col("id").alias("edge_id"), "from_id", "to_id", "recorded_at")
     both = e.select("edge_id", "recorded_at", F.explode(F.array(*[F.struct(F.lit(s).alias("side"), tidy_id(f"{s}_id").alias("ref")) for s in ("from", "to")])).alias("x"))
-    return both.select("edge_id", "x.side", "x.ref", "recorded_at").filter("ref is not null and edge_id is not null").distinct()
+    return both.select("edge_id", "x.side", "x.ref", "recorded_at").filter("ref is not null and edge_id is not null")
 
 
 def _orphan_ends(spark: SparkSession, d: str) -> DataFrame:
-    items = table(spark, d, "valid_items").select(tidy_id("id").alias("item_id"), F.col("recorded_at").alias("r"), F.col("removed_at").alias("x")).distinct()
-    ends = _ends(spark, d).withColumn("month", F.date_format("recorded_at", "yyyy-MM"))
-    return orphans_as_of(ends, ["ref"], "recorded_at", ["edge_id", "side", "month"], items, ["item_id"], "r", "x")
+    items = table(spark, d, "valid_items").select(tidy_id("id").alias("item_id"), F.col("recorded_at").alias("r"), F.col("removed_at").alias("x"))
+    return orphans_as_of(_ends(spark, d), ["ref"], "recorded_at", ["edge_id", "side", "ref", "recorded_at"], items, ["item_id"], "r", "x")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -78,10 +77,17 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_report(spark: SparkSession, d: str) -> DataFrame:
     """Orphan ends by table, end, month of recorded_at ('' if unknown) and kind."""
-    o = _orphan_ends(spark, d).select(F.lit("valid_edges").alias("tbl"), "side", F.coalesce("month", F.lit("")).alias("month"), "kind")
+    o = _orphan_ends(spark, d).distinct().select(F.lit("valid_edges").alias("tbl"), "side", F.coalesce(F.date_format("recorded_at", "yyyy-MM"), F.lit("")).alias("month"), "kind")
     return o.groupBy("tbl", "side", "month", "kind").agg(F.count("*").alias("n"))
 
 
+def p6_composite(spark: SparkSession, d: str) -> DataFrame:
+    """Markers whose work and number, as far as they are not null, occur together in no article text (partial match)."""
+    m = table(spark, d, "marker_bodies").select("marker_id", "work_id", tidy("number").alias("number"))
+    a = table(spark, d, "article_texts").select("work_id", tidy("number").alias("number"))
+    return orphans(m, ["work_id", "number"], a, ["work_id", "number"], "partial").select("marker_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_nodes": p2_nodes,
@@ -92,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_editions": p5_editions,
     "p6_found": p6_found,
     "p6_report": p6_report,
+    "p6_composite": p6_composite,
 }
 
 #: White space that may stand around an id or a number, for DuckDB's trim.
@@ -135,5 +142,7 @@ ORACLES: dict[str, str] = {
       LEFT JOIN (SELECT edition_number, min(trim(revision_date, {_WS})) AS d FROM edition_summaries GROUP BY 1) USING (edition_number)
       WHERE change_kind IS NOT NULL GROUP BY edition_number, change_kind""",
     "p6_found": f"{_ENDS} SELECT DISTINCT edge_id, side, kind FROM found",
+    "p6_composite": f"""WITH m AS (SELECT marker_id, work_id AS w, trim(number, {_WS}) AS n FROM marker_bodies), a AS (SELECT DISTINCT work_id AS w, trim(number, {_WS}) AS n FROM article_texts)
+      SELECT marker_id FROM m WHERE (w IS NOT NULL OR n IS NOT NULL) AND NOT EXISTS (SELECT 1 FROM a WHERE (m.w IS NULL OR a.w = m.w) AND (m.n IS NULL OR a.n = m.n))""",
     "p6_report": f"{_ENDS} SELECT 'valid_edges' AS tbl, side, coalesce(strftime(t, '%Y-%m'), '') AS month, kind, count(*) AS n FROM found GROUP BY ALL",
 }

@@ -54,3 +54,28 @@ def test_as_of_against_brute_force(spark):
     want = sorted(((i, s, judge(k, t)) for i, k, t, s in refs if k is not None and judge(k, t)), key=repr)
     assert got == want and {x[2] for x in got} == {"missing", "deleted", "late"}
     assert orphans_as_of(r, ["ref"], "t", ["ref_id"], it.limit(0), ["ref"], "t", "x").count() == 300
+
+
+def test_keys_of_many_records_give_the_same(spark, monkeypatch):
+    from lexstrata.operators import references as R
+
+    rng = random.Random(8)
+    day = lambda k: None if k is None else f"2024-01-{1 + k // 24:02d} {k % 24:02d}:00:00"
+    refs = [(i, f"k{rng.randrange(5)}", day(rng.choice([None, *range(200)]))) for i in range(150)] + [(900 + i, "k0", day(50)) for i in range(30)]
+    recs = [(f"k{rng.randrange(4)}", day(rng.choice([None, *range(200)])), day(rng.choice([None, None, *range(200)]))) for _ in range(40)]
+    r = spark.createDataFrame(refs, "i bigint, k string, at string").selectExpr("i", "k", "cast(at as timestamp_ntz) at")
+    t = spark.createDataFrame(recs, "k string, s string, e string").selectExpr("k", "cast(s as timestamp_ntz) s", "cast(e as timestamp_ntz) e")
+    few = {tuple(x) for x in R.orphans_as_of(r, ["k"], "at", ["i"], t, ["k"], "s", "e").collect()}
+    monkeypatch.setattr(R, "FEW", 2)
+    assert {tuple(x) for x in R.orphans_as_of(r, ["k"], "at", ["i"], t, ["k"], "s", "e").collect()} == few
+
+    def kind(k, at):
+        own = [x for x in recs if x[0] == k]
+        if not own:
+            return "missing"
+        started = [x for x in own if at is not None and x[1] is not None and x[1] <= at]
+        if any(x[2] is None or x[2] > at for x in started):
+            return None
+        return "deleted" if started else "late"
+
+    assert few == {(i, kind(k, at)) for i, k, at in refs if kind(k, at)}
