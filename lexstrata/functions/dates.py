@@ -58,18 +58,21 @@ def act_number_in_name(c: Column) -> Column:
 
 
 def law_path(c: Column) -> Column:
-    """Struct (date, number) of law_DATE_N-fz; null if the path has another form."""
-    p = r"law_(\d{4}-\d{2}-\d{2})_(\d+)-fz"
+    """Struct (date, number) of law_DATE_N-fz before '/', '_' or the end, the number with its '-fz'; null if there is none."""
+    p = r"law_([0-9]{4}-[0-9]{2}-[0-9]{2})_([^/_]+-fz)(?=[/_]|\z)"
     return F.when(c.rlike(p), F.struct(F.regexp_extract(c, p, 1).alias("date"), F.regexp_extract(c, p, 2).alias("number")))
 
 
 def revision_path(c: Column) -> Column:
-    """Date of rev-DATE that ends the name or is followed by one of . _ / -."""
-    p = r"rev-(\d{4}-\d{2}-\d{2})(?:$|[._/-])"
+    """Date of rev-DATE before '_', '/' or the end; null if there is none."""
+    p = r"rev-([0-9]{4}-[0-9]{2}-[0-9]{2})(?=[/_]|\z)"
     return F.when(c.rlike(p), F.regexp_extract(c, p, 1))
 
 
 def edition_file(c: Column) -> Column:
-    """Struct (edition_number, revision) of edition-N[-rev-DATE].xml; null if it has another form."""
-    p = r"edition-(\d{1,9})(?:[-_](?:rev-)?(.+?))?\.xml$"
-    return F.when(c.rlike(p), F.struct(F.regexp_extract(c, p, 1).cast("int").alias("edition_number"), F.regexp_extract(c, p, 2).alias("revision")))
+    """Struct (edition_number, revision) of a file edition-N_rev-REVISION_...: the number up to '_', the revision after the
+    first '_rev-' up to '_', without 'from-'; null for other names."""
+    name = F.element_at(F.split(c, "/"), -1)
+    number = F.try_to_number(F.regexp_extract(name, r"^edition-\+?([0-9]{1,10})_", 1), F.lit("9999999999")).cast("bigint")
+    revision = F.regexp_replace(F.regexp_extract(name, "_rev-([^_]*)", 1), "^(from-)+", "")
+    return F.when(name.rlike(r"^edition-\+?[0-9]{1,10}_") & F.contains(name, F.lit("_rev-")) & (number < 1 << 32), F.struct(number.alias("edition_number"), revision.alias("revision")))

@@ -23,18 +23,20 @@ from ..session import ship
 
 
 @cache
-def _letters() -> np.ndarray:
-    return np.array([unicodedata.category(chr(c))[0] == "L" for c in range(0x110000)])
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """By code point: letter, white space."""
+    return np.array([unicodedata.category(chr(c))[0] == "L" for c in range(0x110000)]), np.array([chr(c).isspace() for c in range(0x110000)])
 
 
 def tokens(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """(keys, pos, token, start, end): runs of letters in lower case with byte offsets; null and '' give no rows."""
+    """(keys, pos, token, start, end, spaced): runs of letters in lower case with byte offsets, and whether nothing but white
+    space lies between a token and the one before; null and '' give no rows."""
     ship(df.sparkSession)
     source = df.select(*keys, F.col(text).alias("__t")).filter("__t <> ''")
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]) + ", pos int, token string, start bigint, end bigint"
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]) + ", pos int, token string, start bigint, end bigint, spaced boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters = _letters()
+        letters, spaces = _letters()
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
             for a in range(0, len(texts), 500):
@@ -51,9 +53,11 @@ def tokens(df: DataFrame, keys: list[str], text: str) -> DataFrame:
                 base = byte[first[row]]
                 begin = np.searchsorted(row, np.arange(len(some)))
                 pos = np.arange(len(starts)) - begin[row]
+                other = np.cumsum(~is_letter & ~spaces[cp])
+                spaced = (pos > 0) & (other[starts] == other[np.append(0, ends[:-1]) - (np.arange(len(ends)) > 0)])
                 words = [whole[s:e].lower() for s, e in zip(starts.tolist(), ends.tolist())]
                 keyed = [batch.column(i).slice(a, len(some)).take(pa.array(row)) for i in range(batch.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*keyed, pa.array(pos, pa.int32()), pa.array(words, pa.string()), pa.array(byte[starts] - base), pa.array(byte[ends] - base)], names=[*batch.schema.names[:-1], "pos", "token", "start", "end"])
+                yield pa.RecordBatch.from_arrays([*keyed, pa.array(pos, pa.int32()), pa.array(words, pa.string()), pa.array(byte[starts] - base), pa.array(byte[ends] - base), pa.array(spaced)], names=[*batch.schema.names[:-1], "pos", "token", "start", "end", "spaced"])
 
     return source.mapInArrow(run, ddl)
 
@@ -120,22 +124,29 @@ def mentions(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     return hit.select(*keys, "ord", kind.alias("kind"), F.regexp_extract("hit", r"([\d.]+)$", 1).alias("number"))
 
 
+#: White space in patterns of both engines: the property White_Space.
+SPACE = "[\\t-\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
+NUMBER = "[0-9]+(?:\\.[0-9]+)*"
+
+
+def marker_pattern() -> str:
+    """Groups: word with a number or Roman number, its number, word with a number, its number, section sign's number, a bare
+    number, its sign, the title."""
+    roman = "|".join(w for lv in ("razdel", "glava") for w in V.MARKER_PREFIXES[lv])
+    plain = "|".join(V.MARKER_PREFIXES["statya"])
+    return f"(?s)^{SPACE}*(?:(?:({roman}){SPACE}+({NUMBER}|[IVXLCDMivxlcdm]+)|({plain}){SPACE}+({NUMBER})|§{SPACE}*({NUMBER}))[.:)]|({NUMBER})([.)]))(?:{SPACE}(.*))?$"
+
+
 def marker(text: Column) -> Column:
-    """Struct (level, number, title) of a block that opens with a hierarchy marker, else null. Prefix words first, longest
-    first; once a prefix stands there, numbered forms are not tried. Letters are no numbers here."""
-    number, roman = r"(\d+(?:\.\d+)*)", r"(\d+(?:\.\d+)*|[IVXLC]+)"
-    out = F.lit(None).cast("struct<level:string,number:string,title:string>")
-    rules = [("chast", rf"^{number}\.(?:\s+(.*))?$"), ("punkt", rf"^{number}\)(?:\s+(.*))?$")]
-    prefixed = [(lv, w) for lv, ws in V.MARKER_PREFIXES.items() for w in ws]
-    any_prefix = "^(?:" + "|".join(re.escape(w) for _, w in sorted(prefixed, key=lambda x: -len(x[1]))) + r")(?:\s|\d)"
-    for level, p in reversed(rules):
-        p = "(?s)" + p
-        out = F.when(text.rlike(p) & ~text.rlike(any_prefix), F.struct(F.lit(level).alias("level"), F.regexp_extract(text, p, 1).alias("number"), F.trim(F.regexp_extract(text, p, 2)).alias("title"))).otherwise(out)
-    for level, word in sorted(prefixed, key=lambda x: len(x[1])):
-        gap = r"\s*" if level == "paragraph" else r"\s+"
-        p = rf"(?s)^{re.escape(word)}{gap}{roman if level in ('razdel', 'glava') else number}[.:)]?(?:\s+(.*))?$"
-        out = F.when(text.rlike(p), F.struct(F.lit(level).alias("level"), F.regexp_extract(text, p, 1).alias("number"), F.trim(F.regexp_extract(text, p, 2)).alias("title"))).otherwise(out)
-    return out
+    """Struct (level, number, title) of a block that opens with a hierarchy marker, else null: white space, a prefix word
+    with its number (Roman ones of I V X L C D M in either case for the two upper levels) or a bare number, then one of
+    . : ) and white space or the end; bare numbers take '.' (chast) or ')' (punkt). Letters are no numbers here."""
+    p = marker_pattern().removesuffix("$") + r"\z"
+    part = {k: F.regexp_extract(text, p, k) for k in range(1, 9)}
+    level = F.coalesce(*[F.when(part[k].isin(ws), lv) for lv, ws in V.MARKER_PREFIXES.items() for k in (1, 3)], F.when(part[5] != "", "paragraph"), F.when(part[7] == ".", "chast").otherwise("punkt"))
+    number = F.concat(part[2], part[4], part[5], part[6])
+    title = F.regexp_replace(part[8], f"^{SPACE}+|{SPACE}+\\z", "")
+    return F.when(text.rlike(p), F.struct(level.alias("level"), number.alias("number"), title.alias("title")))
 
 
 def _lookup(word: Column, classes: dict[str, list[str]]) -> Column:
@@ -144,15 +155,24 @@ def _lookup(word: Column, classes: dict[str, list[str]]) -> Column:
 
 
 def morphology(token_rows: DataFrame, by: list[str]) -> DataFrame:
-    """Token rows that are legal marker words, with kind and ``negated`` (the token just before is the negation, with
-    nothing but one gap of white space between)."""
-    order = W.partitionBy(*by).orderBy("pos")
-    before = F.lag(F.struct("token", "end")).over(order)
+    """Token rows that are legal marker words, with kind and ``negated``: the token just before is the negation, with
+    nothing but white space between."""
+    before = F.lag("token").over(W.partitionBy(*by).orderBy("pos"))
     return token_rows.withColumns({"kind": _lookup(F.col("token"), V.MARKER_WORDS), "b": before}).filter("kind is not null").select(
-        *by, "pos", "token", "start", "end", "kind", F.coalesce((F.col("b.token") == "не") & (F.col("start") - F.col("b.end") == 1), F.lit(False)).alias("negated")
+        *by, "pos", "token", "start", "end", "kind", F.coalesce((F.col("b") == "не") & F.col("spaced"), F.lit(False)).alias("negated")
     )
 
 
+def words(df: DataFrame, keys: list[str], text: str, classes: dict[str, list[str]]) -> DataFrame:
+    """(keys, ord, kind, token, negated): the words of the classes as whole tokens, as morphology and unknown_forms find
+    them, without offsets. One pattern inside the engine; only the words found leave the text."""
+    some = "|".join(sorted((w for ws in classes.values() for w in ws), key=len, reverse=True))
+    pattern = rf"(?iu)(?<!\p{{L}})(?:не{SPACE}++)?(?:{some})(?!\p{{L}})"
+    hit = df.select(*keys, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))).alias("ord", "hit"))
+    token = F.lower(F.regexp_extract("hit", r"(\p{L}+)\z", 1))
+    return hit.select(*keys, "ord", token.alias("token"), F.col("hit").rlike(rf"(?iu)^не{SPACE}").alias("negated")).withColumn("kind", _lookup(F.col("token"), classes))
+
+
 def deontic(marker_rows: DataFrame) -> DataFrame:
     """The three deontic kinds of morphology rows."""
     kind = F.try_element_at(F.create_map(*[F.lit(x) for kv in V.DEONTIC.items() for x in kv]), F.col("kind"))
@@ -160,12 +180,12 @@ def deontic(marker_rows: DataFrame) -> DataFrame:
 
 
 def phrases(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """(keys, ord, kind, phrase): verb, 'в', 'силу' with only spaces or tabs between."""
-    verbs = [w for ws in V.PHRASE_VERBS.values() for w in ws]
-    pattern = rf"(?iu)(?<!\p{{L}})(?:{'|'.join(verbs)})[ \t]+в[ \t]+силу(?!\p{{L}})"
+    """(keys, ord, kind, phrase): an entry verb, 'в', 'силу', or a loss verb and 'силу', with only spaces or tabs between."""
+    entry, loss = "|".join(V.PHRASE_VERBS["enters_into_force"]), "|".join(V.PHRASE_VERBS["loses_force"])
+    pattern = rf"(?iu)(?<!\p{{L}})(?:(?:{entry})[ \t]+в|{loss})[ \t]+силу(?!\p{{L}})"
     hit = df.select(*keys, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))).alias("ord", "phrase"))
-    entry = F.lower(F.regexp_extract("phrase", r"^(\p{L}+)", 1)).isin(V.PHRASE_VERBS["enters_into_force"])
-    return hit.select(*keys, "ord", F.when(entry, "enters_into_force").otherwise("loses_force").alias("kind"), "phrase")
+    enters = F.lower(F.regexp_extract("phrase", r"^(\p{L}+)", 1)).isin(V.PHRASE_VERBS["enters_into_force"])
+    return hit.select(*keys, "ord", F.when(enters, "enters_into_force").otherwise("loses_force").alias("kind"), "phrase")
 
 
 def unknown_forms(token_rows: DataFrame, classes: dict[str, list[str]] | None = None) -> DataFrame:
@@ -180,11 +200,12 @@ def census(forms: DataFrame, by: list[str]) -> DataFrame:
 
 
 def ranked_census(forms: DataFrame, patched: DataFrame | None = None) -> DataFrame:
-    """(rank, kind, fingerprint, token, n) by count downwards, then token; less the (kind, fingerprint) already patched."""
+    """(rank, kind, fingerprint, token, n) by count downwards, then token; less the (kind, fingerprint) already patched. The
+    ranks of so many rows as there are forms in the word lists."""
     ranked = forms.groupBy("kind", "fingerprint").agg(F.count("*").alias("n"), F.min("token").alias("token"))
     if patched is not None:
         ranked = ranked.join(patched.select("kind", "fingerprint").distinct(), ["kind", "fingerprint"], "left_anti")
-    return ranked
+    return ranked.select(F.row_number().over(W.orderBy(F.desc("n"), "token", "kind")).alias("rank"), "kind", "fingerprint", "token", "n").orderBy("rank")
 
 
 def depth_overflows(markers: DataFrame, caps: dict[str, int]) -> DataFrame:

@@ -18,7 +18,7 @@ def _list(words) -> str:
 
 
 def _blocks(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "open_blocks").filter("provider_style_id is null or provider_style_id <> 's9'")
+    return table(spark, d, "open_blocks").filter("provider_style_id is null or provider_style_id not in ('s9', 's9header')")
 
 
 def id_validation(spark: SparkSession, d: str) -> DataFrame:
@@ -69,22 +69,37 @@ def reference_mentions(spark: SparkSession, d: str) -> DataFrame:
     return L.mentions(table(spark, d, "article_texts").select("article_id", "text"), ["article_id"], "text").groupBy("kind", "number").agg(F.count("*").alias("n"))
 
 
+#: Clauses that the given texts lack: each text is read with one of them at its end.
+CLAUSES = [
+    " Лицо не обязано хранить копию.", " Орган вправе отказать; стороны обязаны\tуведомить.", " Вывоз запрещается, вход не \u00a0запрещён.", " Он не-обязан и не; вправе.",
+    " Приказ вступил в силу.", " Закон утратил силу, норма утрачивает  силу.", " Акт утратил в силу.", " Вступают\tв\nсилу статьи, вступает в силу.",
+]
+
+
+def _clauses(spark: SparkSession, d: str) -> DataFrame:
+    clause = F.element_at(F.array(*[F.lit(x) for x in CLAUSES]), (F.col("article_id") % len(CLAUSES) + 1).cast("int"))
+    return table(spark, d, "article_texts").select("article_id", F.concat(F.coalesce("text", F.lit("")), clause).alias("text"))
+
+
 def marker_words(spark: SparkSession, d: str) -> DataFrame:
-    t = L.tokens(table(spark, d, "article_texts"), ["article_id"], "text")
-    return L.morphology(t, ["article_id"]).groupBy("kind", "token", "negated").agg(F.count("*").alias("n"))
+    return L.words(_clauses(spark, d), ["article_id"], "text", V.MARKER_WORDS).groupBy("kind", "token", "negated").agg(F.count("*").alias("n"))
+
+
+def marker_word_offsets(spark: SparkSession, d: str) -> DataFrame:
+    m = L.morphology(L.tokens(_clauses(spark, d), ["article_id"], "text"), ["article_id"])
+    return m.groupBy("article_id").agg(F.count("*").alias("n"), F.count_if("negated").alias("n_negated"), F.max("end").alias("last_end"))
 
 
 def deontic_words(spark: SparkSession, d: str) -> DataFrame:
-    t = L.tokens(table(spark, d, "article_texts"), ["article_id"], "text")
-    return L.deontic(L.morphology(t, ["article_id"])).groupBy("kind").agg(F.count("*").alias("n"))
+    return L.deontic(L.words(_clauses(spark, d), ["article_id"], "text", V.MARKER_WORDS)).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 def temporal_phrases(spark: SparkSession, d: str) -> DataFrame:
-    return L.phrases(table(spark, d, "article_texts"), ["article_id"], "text").groupBy("kind").agg(F.count("*").alias("n"))
+    return L.phrases(_clauses(spark, d), ["article_id"], "text").groupBy("kind", "phrase").agg(F.count("*").alias("n"))
 
 
 def _unknown(spark: SparkSession, d: str) -> DataFrame:
-    return L.unknown_forms(L.tokens(table(spark, d, "article_texts"), ["article_id"], "text"))
+    return L.words(table(spark, d, "article_texts"), ["article_id"], "text", V.UNKNOWN_FORMS).withColumn("fingerprint", hashing.fnv1a64(F.col("token")))
 
 
 def unknown_census(spark: SparkSession, d: str) -> DataFrame:
@@ -92,18 +107,18 @@ def unknown_census(spark: SparkSession, d: str) -> DataFrame:
 
 
 def unknown_ranked(spark: SparkSession, d: str) -> DataFrame:
-    return L.ranked_census(_unknown(spark, d)).select("kind", "token", "n")
+    return L.ranked_census(_unknown(spark, d)).select("rank", "kind", "token", "n")
 
 
 def unknown_unpatched(spark: SparkSession, d: str) -> DataFrame:
     forms = _unknown(spark, d)
     patched = forms.filter("token in ('часть', 'части')").select("kind", "fingerprint")
-    return L.ranked_census(forms, patched).select("kind", "token", "n")
+    return L.ranked_census(forms, patched).select("rank", "kind", "token", "n")
 
 
 def block_markers(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ix", "line"))
-    return lines.withColumn("m", L.marker(F.col("line"))).filter("m is not null").select("doc_id", "ix", "m.level", "m.number")
+    return lines.withColumn("m", L.marker(F.col("line"))).filter("m is not null").select("doc_id", "ix", "m.level", "m.number", F.md5("m.title").alias("title_md5"))
 
 
 def owned_bodies(spark: SparkSession, d: str) -> DataFrame:
@@ -156,11 +171,18 @@ _DAY = "CASE WHEN regexp_full_match(revision_date, '\\d{4}-\\d{2}-\\d{2}') THEN
 _NUMBER = "[0-9]+(?:\\.[0-9]+)*"
 
 QUERIES = {f.__name__: f for f in (
-    id_validation, minted_works, day_ordinals, dates_in_names, text_hashes, fingerprints, token_counts, token_offsets, sentence_counts, reference_mentions, marker_words,
+    id_validation, minted_works, day_ordinals, dates_in_names, text_hashes, fingerprints, token_counts, token_offsets, sentence_counts, reference_mentions, marker_words, marker_word_offsets,
     deontic_words, temporal_phrases, unknown_census, unknown_ranked, unknown_unpatched, block_markers, owned_bodies, depth_overflow, proposed_membership,
     unit_owners, marker_levels, group_probes,
 )}
-_STY = "(SELECT * FROM open_blocks WHERE provider_style_id IS NULL OR provider_style_id <> 's9')"
+_STY = "(SELECT * FROM open_blocks WHERE provider_style_id IS NULL OR provider_style_id NOT IN ('s9', 's9header'))"
+_TEXTS = "(SELECT article_id, coalesce(text, '') || [" + ", ".join("'" + x.replace("'", "''") + "'" for x in CLAUSES) + f"][article_id % {len(CLAUSES)} + 1] AS text FROM article_texts)"
+#: Runs of letters and of other characters in turn: list x, place i.
+_PIECES = f"(SELECT article_id, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT article_id, regexp_extract_all(text, '\\p{{L}}+|[^\\p{{L}}]+') AS x FROM {_TEXTS}))"
+_NEG = f"(i > 2 AND lower(x[greatest(i - 2, 1)]) = 'не' AND regexp_full_match(x[greatest(i - 1, 1)], '{L.SPACE}+'))"
+_GAP = "regexp_full_match(coalesce(x[i + {k}], ''), '[ \\t]+')"
+_ENTRY = f"lower(x[i]) IN ({_list(V.PHRASE_VERBS['enters_into_force'])}) AND lower(x[i + 2]) = 'в' AND lower(x[i + 4]) = 'силу' AND {_GAP.format(k=1)} AND {_GAP.format(k=3)}"
+_LOSS = f"lower(x[i]) IN ({_list(V.PHRASE_VERBS['loses_force'])}) AND lower(x[i + 2]) = 'силу' AND {_GAP.format(k=1)}"
 _MONTHS = "|".join(V.MONTHS)
 _MONTH_NO = "CASE regexp_extract(l, '[0-9]{1,2}\\s+(" + _MONTHS + ")\\s+[0-9]{4}', 1) " + " ".join(f"WHEN '{m}' THEN '{k:02d}'" for m, k in V.MONTHS.items()) + " END"
 ORACLES = {
@@ -180,10 +202,18 @@ ORACLES = {
     "token_counts": f"SELECT token, count(*) AS n, count(DISTINCT block_id) AS n_blocks FROM ({_TOK.format(k='block_id', t='text', f=_STY)}) GROUP BY token",
     "reference_mentions": f"""SELECT CASE WHEN regexp_extract(m, '^\\p{{L}}+') IN ({_list(V.ARTICLE_FORMS)}) THEN 'article' ELSE 'point' END AS kind, regexp_extract(m, '{_NUMBER}$') AS number, count(*) AS n
       FROM (SELECT unnest(regexp_extract_all(lower(text), '(?:^|[^\\p{{L}}])((?:{"|".join(sorted(V.ARTICLE_FORMS + V.POINT_FORMS, key=len, reverse=True))})[ \\t]+{_NUMBER})', 1)) AS m FROM article_texts) GROUP BY ALL""",
-    "deontic_words": f"SELECT kind, count(*) AS n FROM (SELECT {_DEON} AS kind FROM ({_ART})) WHERE kind IS NOT NULL GROUP BY kind",
+    "deontic_words": f"SELECT kind, count(*) AS n FROM (SELECT {_DEON} AS kind FROM (SELECT lower(x[i]) AS token FROM {_PIECES})) WHERE kind IS NOT NULL GROUP BY kind",
+    "marker_words": f"SELECT kind, token, negated, count(*) AS n FROM (SELECT token, negated, {_MARK} AS kind FROM (SELECT lower(x[i]) AS token, {_NEG} AS negated FROM {_PIECES})) WHERE kind IS NOT NULL GROUP BY ALL",
+    "marker_word_offsets": f"SELECT article_id, count(*) AS n, count(*) FILTER (negated) AS n_negated, max(last_end) AS last_end FROM (SELECT article_id, negated, last_end, {_MARK} AS kind FROM (SELECT article_id, lower(x[i]) AS token, {_NEG} AS negated, strlen(array_to_string(x[1:i], '')) AS last_end FROM {_PIECES})) WHERE kind IS NOT NULL GROUP BY 1",
+    "temporal_phrases": f"SELECT kind, phrase, count(*) AS n FROM (SELECT CASE WHEN {_ENTRY} THEN 'enters_into_force' ELSE 'loses_force' END AS kind, array_to_string(x[i:i + CASE WHEN {_ENTRY} THEN 4 ELSE 2 END], '') AS phrase FROM {_PIECES} WHERE ({_ENTRY}) OR ({_LOSS})) GROUP BY ALL",
+    "token_offsets": f"SELECT block_id, len(list_filter(x, lambda p: regexp_matches(p, '\\p{{L}}'))) AS n, strlen(array_to_string(x, '')) - CASE WHEN regexp_matches(x[-1], '\\p{{L}}') THEN 0 ELSE strlen(x[-1]) END AS last_end, list_sum(list_transform(list_filter(x, lambda p: regexp_matches(p, '\\p{{L}}')), lambda p: strlen(p)))::bigint AS n_bytes FROM (SELECT block_id, regexp_extract_all(text, '\\p{{L}}+|[^\\p{{L}}]+') AS x FROM {_STY}) WHERE len(list_filter(x, lambda p: regexp_matches(p, '\\p{{L}}'))) > 0",
+    "fingerprints": "SELECT DISTINCT link_text, 'fnv1a64:' || lpad(lower(to_hex(list_reduce(list_prepend(14695981039346656037::hugeint, list_transform(range(0, strlen(link_text)), lambda i: ('0x' || substr(hex(encode(link_text)), 2 * i + 1, 2))::int::hugeint)), lambda h, b: (xor(h, b) * 1099511628211::hugeint) % 18446744073709551616::hugeint)::ubigint)), 16, '0') AS fingerprint FROM observations WHERE link_text IS NOT NULL",
+    "block_markers": f"""WITH b AS (SELECT doc_id, (generate_subscripts(string_split(text, chr(10)), 1) - 1)::int AS ix, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL), g AS (SELECT *, regexp_extract(line, '{L.marker_pattern()}', ['g1', 'g2', 'g3', 'g4', 'g5', 'g6', 'g7', 'g8']) AS g FROM b WHERE regexp_matches(line, '{L.marker_pattern()}'))
+      SELECT doc_id, ix, CASE WHEN lower(g.g1) <> '' THEN CASE WHEN lower(g.g1) = 'раздел' THEN 'razdel' ELSE 'glava' END WHEN g.g3 <> '' THEN 'statya' WHEN g.g5 <> '' THEN 'paragraph' WHEN g.g7 = '.' THEN 'chast' ELSE 'punkt' END AS level, g.g2 || g.g4 || g.g5 || g.g6 AS number,
+      md5(regexp_replace(g.g8, '^{L.SPACE}+|{L.SPACE}+$', '', 'g')) AS title_md5 FROM g""",
     "unknown_census": "SELECT article_id, " + ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in V.UNKNOWN_FORMS) + f" FROM (SELECT article_id, {_UNKNOWN} AS kind FROM ({_ART})) WHERE kind IS NOT NULL GROUP BY 1",
-    "unknown_ranked": f"SELECT kind, token, count(*) AS n FROM (SELECT token, {_UNKNOWN} AS kind FROM ({_ART})) WHERE kind IS NOT NULL GROUP BY ALL",
-    "unknown_unpatched": f"SELECT kind, token, count(*) AS n FROM (SELECT token, {_UNKNOWN} AS kind FROM ({_ART})) WHERE kind IS NOT NULL AND token NOT IN ('часть', 'части') GROUP BY ALL",
+    "unknown_ranked": f"SELECT row_number() OVER (ORDER BY count(*) DESC, token, kind)::int AS rank, kind, token, count(*) AS n FROM (SELECT token, {_UNKNOWN} AS kind FROM ({_ART})) WHERE kind IS NOT NULL GROUP BY kind, token",
+    "unknown_unpatched": f"SELECT row_number() OVER (ORDER BY count(*) DESC, token, kind)::int AS rank, kind, token, count(*) AS n FROM (SELECT token, {_UNKNOWN} AS kind FROM ({_ART})) WHERE kind IS NOT NULL AND token NOT IN ('часть', 'части') GROUP BY kind, token",
     "owned_bodies": """WITH b AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ix, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
       o AS (SELECT *, regexp_matches(line, '^[0-9]+[.)] ') AS m, max(CASE WHEN regexp_matches(line, '^[0-9]+[.)] ') THEN ix END) OVER (PARTITION BY doc_id ORDER BY ix) AS marker FROM b),
       s AS (SELECT doc_id, marker, coalesce(string_agg(trim(line, ' '), chr(10) ORDER BY ix) FILTER (NOT m AND trim(line, ' ') <> ''), '') AS body FROM o WHERE marker IS NOT NULL GROUP BY 1, 2)

@@ -3,6 +3,7 @@ import re
 from pyspark.sql import functions as F
 
 from lexstrata.functions import dates, hashing, ids
+from lexstrata.functions import vocabulary as V
 from lexstrata.operators import lexical as L
 
 
@@ -33,20 +34,21 @@ def test_mentions(spark):
 
 def test_markers(spark):
     want = {
-        "Статья 93. Закупка": ("statya", "93"), "ГЛАВА IV Контроль": ("glava", "IV"), "Раздел 2": ("razdel", "2"), "§3. Сроки": ("paragraph", "3"), "1. Часть": ("chast", "1"), "2.1) Пункт": ("punkt", "2.1"),
-        "а) подпункт": None, "Статья без номера": None, "Просто 5": None, "1.Слитно": None,
+        "Статья 93. Закупка": ("statya", "93"), "ГЛАВА IV: Контроль": ("glava", "IV"), "\t Раздел 2.": ("razdel", "2"), "Раздел XD. Т": ("razdel", "XD"), "раздел iv) Т": ("razdel", "iv"), "§3. Сроки": ("paragraph", "3"), "1. Часть": ("chast", "1"), "2.1) Пункт": ("punkt", "2.1"),
+        "а) подпункт": None, "Статья 5 Название": None, "Статья IV. Имя": None, "Статья 5.. Имя": None, "Глава": None, "7: Имя": None, "\u00a05.1.": ("chast", "5.1"), "Статья без номера": None, "Просто 5": None, "1.Слитно": None,
     }
     df = spark.createDataFrame([(k,) for k in want], "t string").select("t", L.marker(F.col("t")).alias("m"))
     assert {r["t"]: (r["m"]["level"], r["m"]["number"]) if r["m"] else None for r in df.collect()} == want
 
 
 def test_morphology_and_phrases(spark):
-    t = "Заказчик не вправе, обязан и запрещается; не  обязаны. Закон вступает в силу, утратил в\tсилу, вступает  не в силу. Нельзя; часть части"
+    t = "Заказчик не вправе, обязан и запрещается; не  обязаны, не-обязана. Закон вступает в силу, утратил\tсилу, утратил в силу, вступает  не в силу. Нельзя; часть части"
     df = spark.createDataFrame([(1, t)], "id int, text string")
     tokens = L.tokens(df, ["id"], "text")
     got = {(r["token"], r["kind"], r["negated"]) for r in L.morphology(tokens, ["id"]).collect()}
-    assert got == {("вправе", "vprave", True), ("обязан", "obyazan", False), ("запрещается", "zapret", False), ("обязаны", "obyazan", False)}
-    assert {r["kind"]: r["n"] for r in L.deontic(L.morphology(tokens, ["id"])).groupBy("kind").agg(F.count("*").alias("n")).collect()} == {"permission": 1, "obligation": 2, "prohibition": 1}
+    assert got == {("вправе", "vprave", True), ("обязан", "obyazan", False), ("запрещается", "zapret", False), ("обязаны", "obyazan", True), ("обязана", "obyazan", False)}
+    assert {(r["token"], r["kind"], r["negated"]) for r in L.words(df, ["id"], "text", V.MARKER_WORDS).collect()} == got
+    assert {r["kind"]: r["n"] for r in L.deontic(L.morphology(tokens, ["id"])).groupBy("kind").agg(F.count("*").alias("n")).collect()} == {"permission": 1, "obligation": 3, "prohibition": 1}
     assert sorted(r["kind"] for r in L.phrases(df, ["id"], "text").collect()) == ["enters_into_force", "loses_force"]
     forms = L.unknown_forms(tokens)
     assert tuple(L.census(forms, ["id"]).first()) == (1, 0, 1, 2)
@@ -76,5 +78,8 @@ def test_ids_and_dates(spark):
     assert value(dates.iso_shape(F.lit("2023-99-99"))) is True
     assert value(dates.date_in_name(F.lit("Закон от 5 апреля 2013 N 44 ред. 01-02-2020"))) == "2013-04-05" and value(dates.date_in_name(F.lit("ред. 01.02.2020"))) == "2020-02-01"
     assert value(dates.act_number_in_name(F.lit("PP_60_27-01-2022.odt"))) == "60" and value(dates.act_number_in_name(F.lit("Приказ № 126н"))) == "126"
-    assert tuple(value(dates.law_path(F.lit("x/law_2013-04-05_44-fz/e.xml")))) == ("2013-04-05", "44") and value(dates.revision_path(F.lit("a_rev-2020-01-01.xml"))) == "2020-01-01"
-    assert tuple(value(dates.edition_file(F.lit("edition-12_rev-2020-01-01.xml")))) == (12, "2020-01-01") and value(dates.edition_file(F.lit("x.xml"))) is None
+    assert tuple(value(dates.law_path(F.lit("x/law_2013-04-05_44-fz/e.xml")))) == ("2013-04-05", "44-fz")
+    assert [value(dates.revision_path(F.lit(x))) for x in ("e/a_rev-2020-01-01_from-x.xml", "e_rev-2020-01-01", "a_rev-2020-01-01.xml", "rev-initial_b")] == ["2020-01-01", "2020-01-01", None, None]
+    assert tuple(value(dates.edition_file(F.lit("d/edition-0012_rev-2020-01-01_from-2021-02-03_ab.xml")))) == (12, "2020-01-01")
+    assert tuple(value(dates.edition_file(F.lit("edition-3_rev-initial_from-unknown_9d.xml")))) == (3, "initial")
+    assert [value(dates.edition_file(F.lit(x))) for x in ("x.xml", "edition-3.xml", "edition-3_2020.xml", "edition-x_rev-a_.xml")] == [None] * 4

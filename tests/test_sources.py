@@ -61,9 +61,9 @@ def test_registry_lines(spark, tmp_path):
 
 
 def test_folders_and_sinks(spark, tmp_path):
-    for name in ("edition-1_rev-2020-01-01.xml", "edition-2.xml", "other.xml", "edition-x.xml"):
+    for name in ("edition-1_rev-2020-01-01_ab.xml", "edition-2_rev-initial_from-x.xml", "edition-3.xml", "other.xml", "edition-x.xml"):
         (tmp_path / name).write_text("<x/>")
-    assert sorted((r["edition_number"], r["revision"]) for r in records.edition_files(spark, str(tmp_path)).collect()) == [(1, "2020-01-01"), (2, "")]
+    assert sorted((r["edition_number"], r["revision"]) for r in records.edition_files(spark, str(tmp_path)).collect()) == [(1, "2020-01-01"), (2, "initial")]
     packets = tmp_path / "p"
     packets.mkdir()
     (packets / "a.json").write_text(json.dumps({"packet_id": "x"}, indent=1))
