@@ -2,24 +2,45 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import vocabulary as V
+from ..session import ship
 
 
 def extract_links(df: DataFrame, keys: list[str], xml: str, tag: str = "w:hlink", attribute: str = "w:dest", paragraph: str = "w:p", run: str = "w:t") -> DataFrame:
-    """(keys, ord, dest, link_text, context): each link element with its text and the text of the paragraph around it. Entities
-    stay undecoded; elements without the attribute are left out."""
-    paras = df.select(*keys, F.posexplode(F.regexp_extract_all(F.col(xml), F.lit(rf"(?s)<{paragraph}[ >].*?</{paragraph}>"), F.lit(0))).alias("p", "para"))
-
-    def plain(c: Column) -> Column:
-        return F.array_join(F.regexp_extract_all(c, F.lit(rf"(?s)<{run}(?: [^>]*)?>(.*?)</{run}>"), F.lit(1)), "")
-
-    links = paras.select(*keys, "p", "para", F.posexplode(F.regexp_extract_all("para", F.lit(rf"(?s)<{tag} [^>]*{attribute}=\"[^\"]*\".*?</{tag}>"), F.lit(0))).alias("q", "link"))
-    order = W.partitionBy(*keys).orderBy("p", "q")
-    return links.select(*keys, (F.row_number().over(order) - 1).alias("ord"), F.regexp_extract("link", rf"{attribute}=\"([^\"]*)\"", 1).alias("dest"), plain(F.col("link")).alias("link_text"), plain(F.col("para")).alias("context"))
+    """(keys, ord, dest, link_text, context): each link element with its text and the text from the last opening of a paragraph
+    before it to the next end of one, so that links outside a paragraph have a context too. Entities stay undecoded;
+    elements without the attribute are left out."""
+    ship(df.sparkSession)
+    source = df.select(*keys, F.col(xml).alias("__x")).filter("__x <> ''")
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]) + ", ord int, dest string, link_text string, context string"
+    link = re.compile(rf"<{tag}\b([^>]*)>(.*?)</{tag}>", re.S)
+    target, runs = re.compile(rf'{attribute}="([^"]*)"'), re.compile(rf"<{run}(?: [^>]*)?>(.*?)</{run}>", re.S)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, cols = [], ([], [], [], [])
+            for r, text in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                n = 0
+                for m in link.finditer(text):
+                    if dest := target.search(m.group(1)):
+                        begin, end = text.rfind(f"<{paragraph}", 0, m.start()), text.find(f"</{paragraph}>", m.start())
+                        context = text[max(begin, 0) : end if end >= 0 else len(text)]
+                        rows.append(r)
+                        for c, v in zip(cols, (n, dest.group(1), "".join(runs.findall(m.group(2))), "".join(runs.findall(context)))):
+                            c.append(v)
+                        n += 1
+            keyed = [batch.column(i).take(pa.array(rows, pa.int64())) for i in range(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*keyed, pa.array(cols[0], pa.int32()), *[pa.array(c, pa.string()) for c in cols[1:]]], names=[*batch.schema.names[:-1], "ord", "dest", "link_text", "context"])
+
+    return source.mapInArrow(find, ddl)
 
 
 def link_kind(dest: Column, scheme: str = "consultantplus://") -> Column:

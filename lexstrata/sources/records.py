@@ -13,10 +13,16 @@ def registry_lines(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """(path, line, id, record, diagnostic): JSON lines with blank ones left out; malformed, no object, no id, wrong
     record_kind, or duplicate id, whose record is kept."""
     text = spark.read.text(path, lineSep="\n").select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("m"), F.col("value").alias("record"))
-    lines = text.withColumn("line", F.row_number().over(W.partitionBy("path").orderBy("b", "m"))).filter(F.trim("record") != "")
+    # Numbers in two levels, the blocks of a file and the lines of a block, so that a large file stays many tasks.
+    blocks = text.groupBy("path", "b").agg(F.count("*").alias("k"))
+    before = F.coalesce(F.sum("k").over(W.partitionBy("path").orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    inside = text.withColumn("i", F.row_number().over(W.partitionBy("path", "b").orderBy("m")))
+    lines = inside.join(blocks.select("path", "b", before.alias("base")), ["path", "b"]).select("path", (F.col("base") + F.col("i")).cast("int").alias("line"), "record").filter(F.trim("record") != "")
     v = F.try_parse_json("record")
     rows = lines.withColumns({"id": F.try_variant_get(v, "$.id", "string"), "k": F.try_variant_get(v, "$.record_kind", "string"), "t": F.schema_of_variant(v)})
-    again = F.row_number().over(W.partitionBy("id").orderBy("path", "line")) > 1
+    firsts = rows.groupBy("id").agg(F.min(F.struct("path", "line")).alias("first"))
+    rows = rows.join(firsts.filter("id is not null"), "id", "left")
+    again = F.struct("path", "line") > F.col("first")
     why = (
         F.when(v.isNull(), "malformed").when(~F.col("t").startswith("OBJECT"), "not an object").when(F.coalesce(F.trim("id"), F.lit("")) == "", "missing id")
         .when(F.col("k").isNotNull() & (F.col("k") != kind), "wrong record_kind").when(again, "duplicate id").otherwise("")
