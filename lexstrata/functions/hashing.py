@@ -38,6 +38,18 @@ def joined_digest(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)
 
 
+def fnv_digest(*parts: Column, more: Column | None = None) -> Column:
+    """FNV-1a 64 over parts joined by '|' and then the items of an array, each after a '|': digests of proposals (predicate,
+    subject, object, owner, evidence) and of chains (candidate, evidence). Null parts and items are left out."""
+    none = F.array().cast("array<string>")
+    return fnv1a64(F.array_join(F.concat(F.array(*parts), F.coalesce(more, none) if more is not None else none), "|"))
+
+
+def pair_digest(left: Column, right: Column, contributions: Column) -> Column:
+    """Digest of two ids and their contributions, an array of structs (id, family)."""
+    return fnv_digest(left, right, more=F.transform(contributions, lambda x: F.concat(x["id"], F.lit(":"), x["family"])))
+
+
 def pseudo_vector(text: Column, width: int) -> Column:
     """Deterministic stand-in for an embedding: element i is xxhash64(text, i) mapped to [0, 1). Values are our own."""
     return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: (F.shiftrightunsigned(F.xxhash64(text, i), 11) / F.lit(float(1 << 53))).cast("float"))

@@ -160,6 +160,31 @@ def marked_lookup(requested: DataFrame, catalog: DataFrame, key: str) -> DataFra
     return requested.join(known, key, "left").select(*requested.columns, F.coalesce("__in", F.lit(False)).alias("in_catalog"), F.when(blank, "empty id").otherwise("").alias("error"))
 
 
+def coverage_summary(looked_up: DataFrame) -> DataFrame:
+    """(resolved, total) of marked_lookup's rows."""
+    return looked_up.agg(F.count_if("in_catalog").alias("resolved"), F.count("*").alias("total"))
+
+
+def golden_relations(items: DataFrame) -> DataFrame:
+    """Explicit amendments with a text: items (item_id, relation_type, raw_tooltip, normalization_status)."""
+    return items.filter("relation_type = 'amends' and normalization_status = 'explicit' and length(raw_tooltip) > 0").select("item_id", "relation_type", "raw_tooltip")
+
+
+def plain_titles(documents: DataFrame, most: int) -> DataFrame:
+    """(source_id, title) of normative documents that amend nothing by their title, the first ``most`` by source_id: the limit
+    is the sample's."""
+    amending = "внесении изменений|внесении изменения|внести изменения|внести изменение"
+    return documents.filter((F.col("kind") == "normative") & F.col("title").isNotNull() & ~F.col("title").rlike(amending)).select("source_id", "title").orderBy("source_id").limit(most)
+
+
+def measured(golden: DataFrame, negatives: DataFrame, hit: str) -> DataFrame:
+    """(hits, misses, false_positives, recall, precision) of a rule's boolean column over positives and negatives."""
+    g = golden.agg(F.count_if(hit).alias("hits"), F.count_if(~F.col(hit)).alias("misses"))
+    n = negatives.agg(F.count_if(hit).alias("false_positives"))
+    total, found = F.col("hits") + F.col("misses"), F.col("hits") + F.col("false_positives")
+    return g.join(n, F.lit(True)).withColumns({"recall": F.when(total > 0, F.col("hits") / total).otherwise(F.lit(1.0)), "precision": F.when(found > 0, F.col("hits") / found).otherwise(F.lit(1.0))})
+
+
 def ranked_needles(fields: dict[str, Column], needles: list[tuple[str, str, str, int]]) -> Column:
     """Struct (outcome, value, conflicts): the group of the lowest rank whose needle occurs in its field, case ignored; several
     groups of that rank are a conflict, none is unknown. All expressions: the needles are a fixed list, no join."""

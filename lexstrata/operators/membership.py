@@ -37,12 +37,18 @@ def admit(proposals: DataFrame, doc: str, order: str = "ord") -> DataFrame:
         pdf = pdf.sort_values([order, "child", "parent"], kind="stable")
         up: dict[str, str] = {}
         places = []
+        short: dict[str, str] = {}  # towards the root of each tree; a child without parent is the root of its own
         for o, c, q in zip(pdf[order], pdf["child"], pdf["parent"]):
-            top = q
-            while top in up and top != c:
-                top = up[top]
-            if c not in up and top != c:
-                up[c] = q
+            if c in up:
+                continue
+            top, way = q, []
+            while top in short:
+                way.append(top)
+                top = short[top]
+            for x in way:
+                short[x] = top
+            if top != c:
+                up[c] = short[c] = q
                 places.append(o)
         return pd.DataFrame({"__d": [pdf[doc].iloc[0]] * len(up), "__c": list(up), "__o": places, "__q": list(up.values())})
 
@@ -55,21 +61,27 @@ def admit(proposals: DataFrame, doc: str, order: str = "ord") -> DataFrame:
     return met.select(doc, order, "child", "parent", outcome.alias("outcome")).unionByName(selfs)
 
 
-def bounded_closure(edges: DataFrame, seeds: DataFrame, bound: int = 8) -> DataFrame:
+def bounded_closure(edges: DataFrame, seeds: DataFrame, bound: int = 8, version: str | None = None) -> DataFrame:
     """(seed, outcome, n_affected): what depends on a seed, at most ``bound`` nodes. edges: node, dep (node depends on dep; a
     registered node without dependencies has a null dep). 'unknown' for an unregistered seed, 'unbounded' beyond the bound,
-    'incomplete' if a dependency met is not registered, else 'complete'. At most bound + 1 rounds, and a seed that has
-    passed the bound is expanded no further, so a hub costs no more than its bound."""
+    'incomplete' if a dependency met is not registered, else 'complete'. Before all of these, a seed whose ``claim`` is true
+    (a forbidden claim of completeness) is 'incomplete', and one whose ``rule_version`` is another than ``version`` is
+    'incompatible', where the columns exist and a version is given. At most bound + 1 rounds; a node keeps bound + 1 of its
+    dependencies, which are enough to pass the bound, and a seed that has passed it is expanded no further, so a hub costs
+    no more than its bound."""
     known = edges.select(F.col("node").alias("n")).distinct()
-    dep = materialise(edges.filter("dep is not null").select("node", "dep").distinct())
+    place = F.row_number().over(W.partitionBy("node").orderBy("dep"))
+    dep = materialise(edges.filter("dep is not null and dep <> node").select("node", "dep").distinct().withColumn("k", place).filter(F.col("k") <= bound + 1).select("node", "dep"))
     reached = materialise(seeds.select("seed", F.col("seed").alias("n")).distinct().join(known, "n", "left_semi").select("seed", "n"))
     for _ in range(bound):
         few = reached.groupBy("seed").agg(F.count("*").alias("k")).filter(F.col("k") <= bound).select("seed")
         more = reached.join(few, "seed", "left_semi").join(dep, F.col("n") == F.col("node")).select("seed", F.col("dep").alias("n"))
         reached = materialise(reached.union(more).distinct())  # the plan of a round holds the one before it twice
     state = reached.join(known.withColumn("ok", F.lit(True)), "n", "left").groupBy("seed").agg(F.count("*").alias("k"), F.bool_and(F.coalesce("ok", F.lit(False))).alias("all_known"))
-    j = seeds.select("seed").distinct().join(state, "seed", "left")
-    outcome = F.when(F.col("k").isNull(), "unknown").when(F.col("k") > bound, "unbounded").when(~F.col("all_known"), "incomplete").otherwise("complete")
+    claimed = F.max("claim") if "claim" in seeds.columns else F.lit(False)
+    stale = F.max(~F.col("rule_version").eqNullSafe(F.lit(version))) if version is not None and "rule_version" in seeds.columns else F.lit(False)
+    j = seeds.groupBy("seed").agg(claimed.alias("c"), stale.alias("v")).join(state, "seed", "left")
+    outcome = F.when(F.coalesce("c", F.lit(False)), "incomplete").when(F.col("v"), "incompatible").when(F.col("k").isNull(), "unknown").when(F.col("k") > bound, "unbounded").when(~F.col("all_known"), "incomplete").otherwise("complete")
     return j.select("seed", outcome.alias("outcome"), F.when(outcome == "complete", F.col("k")).alias("n_affected"))
 
 

@@ -49,6 +49,44 @@ def evidence_boundary(items: DataFrame, required: dict[str, list[str]]) -> DataF
     return items.filter(F.col("status") == "validated").filter(need.isNotNull() & ~overlap).select("item_id", "proof_level")
 
 
+def claim_lifecycle(items: DataFrame, edges: DataFrame, proven: list[str], proof_edges: list[str], backlog: list[str]) -> DataFrame:
+    """(record_id, field, failure): validated items without a sufficient proof level, and ends of live proof edges whose item's
+    status forbids its use as proof."""
+    unsafe = items.filter((F.col("status") == "validated") & ~F.coalesce(F.col("proof_level").isin(proven), F.lit(False)))
+    found = unsafe.select(F.col("item_id").alias("record_id"), F.lit("status").alias("field"), F.lit("unsafe-promotion").alias("failure"))
+    live = edges.filter(F.col("edge_type").isin(proof_edges) & F.col("status").isin("active", "bounded-evidence", "validated"))
+    ends = live.select("edge_id", F.explode(F.array(*[F.struct(F.lit(s).alias("field"), F.col(f"{s}_id").alias("item_id")) for s in ("from", "to")])).alias("e")).select("edge_id", "e.*")
+    bad = ends.join(items.filter(F.col("status").isin(backlog)).select("item_id").distinct(), "item_id", "left_semi")
+    return found.unionByName(bad.select(F.col("edge_id").alias("record_id"), "field", F.lit("proof-from-backlog").alias("failure")))
+
+
+def gate_metadata(items: DataFrame, gate_type: str = "proof_gate") -> DataFrame:
+    """(item_id, field): what active gates without proof lack of owner, verification (text) and source anchors (list)."""
+    gates = items.filter((F.col("item_type") == gate_type) & (F.col("status") == "active") & (F.col("proof_level") == "none"))
+    lack = {f: F.coalesce(F.trim(f), F.lit("")) == "" for f in ("owner", "verification")} | {"source_anchors": F.coalesce(F.size("source_anchors"), F.lit(0)) <= 0}
+    return gates.select("item_id", F.explode(F.filter(F.array(*[F.when(c, F.lit(f)) for f, c in lack.items()]), lambda x: x.isNotNull())).alias("field"))
+
+
+def track_split(rows: DataFrame, tracks: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """(track, n, one sorted set a field): tracks (track, key) with the distinct values, of closed domains, of their rows."""
+    return tracks.join(rows, key).groupBy("track").agg(F.count("*").alias("n"), *[F.array_sort(F.collect_set(f)).alias(f"{f}s") for f in fields])
+
+
+def final_buckets(rows: DataFrame, status: str, names: dict[str, str]) -> DataFrame:
+    """(status, bucket, n): counts by status and the bucket that it ends in, '' for a status without one."""
+    return rows.groupBy(F.coalesce(status, F.lit("")).alias("status")).agg(F.count("*").alias("n")).select("status", bucket_of(F.col("status"), names, "").alias("bucket"), "n")
+
+
+def accepted_facts(asked: DataFrame, proposals: DataFrame, key: list[str]) -> DataFrame:
+    """Asked facts with ``is_fact``: whether a proposal of that key was accepted."""
+    known = proposals.filter("outcome = 'accepted'").select(*key).distinct().withColumn("__f", F.lit(True))
+    return asked.join(known, key, "left").withColumn("is_fact", F.coalesce("__f", F.lit(False))).drop("__f")
+
+
+def retryable(outcome: Column) -> Column:
+    return F.coalesce(outcome.isin("unavailable", "timeout", "transport_or_tls_failure"), F.lit(False))
+
+
 def anchor_errors(anchors: DataFrame, files: DataFrame) -> DataFrame:
     """(item_id, pos, error) in order: path not local, file unknown, one line bound only or out of range. files: path, n_lines."""
     j = anchors.join(files, "path", "left")

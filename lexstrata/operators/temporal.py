@@ -27,12 +27,13 @@ def status_as_of(events: DataFrame, key: str, day: str, status: str, at, request
 
 def as_of_join(requests: DataFrame, events: DataFrame, key: str, at: str, day: str, value: str) -> DataFrame:
     """(requests' columns, value): the latest value with day <= at for each request, by a union and a running last value
-    instead of a join on inequality."""
-    cols = [c for c in requests.columns if c not in (key, at)]
-    left = requests.select(key, F.col(at).alias("__d"), F.lit(1).alias("__q"), F.lit(None).cast(events.schema[value].dataType).alias("__v"), *cols)
-    right = events.filter(F.col(value).isNotNull()).groupBy(key, F.col(day).alias("__d")).agg(F.max(value).alias("__v")).select(key, "__d", F.lit(0).alias("__q"), "__v", *[F.lit(None).cast(requests.schema[c].dataType).alias(c) for c in cols])
+    instead of a join on inequality. Only the days of a key are swept, asked for and of events alike, however many
+    requests and events a day has; then each request takes its day's answer. Requests of null key or day have a null value."""
+    asked = requests.select(key, F.col(at).alias("__d"), F.lit(1).alias("__q"), F.lit(None).cast(events.schema[value].dataType).alias("__v")).distinct()
+    right = events.filter(F.col(value).isNotNull()).groupBy(key, F.col(day).alias("__d")).agg(F.max(value).alias("__v")).select(key, "__d", F.lit(0).alias("__q"), "__v")
     run = W.partitionBy(key).orderBy("__d", "__q").rowsBetween(W.unboundedPreceding, 0)
-    return left.unionByName(right).withColumn(value, F.last("__v", True).over(run)).filter("__q = 1").select(key, F.col("__d").alias(at), *cols, value)
+    answers = asked.unionByName(right).withColumn("__a", F.last("__v", True).over(run)).filter("__q = 1").select(F.col(key).alias("__k"), "__d", "__a")
+    return requests.join(answers, (F.col(key) == F.col("__k")) & (F.col(at) == F.col("__d")), "left").select(*requests.columns, F.col("__a").alias(value))
 
 
 def text_as_of(log: DataFrame, key: list[str], day: str, text: str, order: str, at) -> DataFrame:
@@ -87,11 +88,18 @@ def prune(tree_rows: DataFrame, present: DataFrame, node: str = "node") -> DataF
 
 
 def status_with_structure(statuses: DataFrame, edges: DataFrame, key: str) -> DataFrame:
-    """Temporal join: status rows with parent, sorted children and whether the structure is known; it never raises a status."""
+    """Temporal join: status rows with parent, number of children and whether the structure is known; it never raises a
+    status. The children themselves are rows, see ``children_of``."""
     up = edges.select(F.col("child").alias(key), "parent")
-    down = edges.groupBy(F.col("parent").alias(key)).agg(F.sort_array(F.collect_list("child")).alias("children"))
+    down = edges.groupBy(F.col("parent").alias(key)).agg(F.count("*").alias("n_children"))
     j = statuses.join(up, key, "left").join(down, key, "left")
-    return j.withColumns({"children": F.coalesce("children", F.array().cast("array<string>")), "structural_known": F.col("parent").isNotNull() | F.col("children").isNotNull()})
+    return j.withColumns({"structural_known": F.col("parent").isNotNull() | F.col("n_children").isNotNull(), "n_children": F.coalesce("n_children", F.lit(0))})
+
+
+def children_of(edges: DataFrame, keys: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, place, child): the children of each key in the order of their insertion, as rows."""
+    place = F.row_number().over(W.partitionBy("parent").orderBy(order, "child"))
+    return edges.join(keys.select(F.col(key).alias("parent")).distinct(), "parent", "left_semi").select(F.col("parent").alias(key), place.alias("place"), "child")
 
 
 def governing_clock(requests: DataFrame, anchors: DataFrame, governing: str) -> DataFrame:
