@@ -127,7 +127,7 @@ def derive_edges(links: DataFrame, source: str, dest: str, kind: str, provenance
 def observations(unknown: DataFrame, text: str, context: str, dest: str, order: str) -> DataFrame:
     """(link_text, n, first_context, n_dests) by count downwards, then text: null texts are left out."""
     g = unknown.filter(F.col(text).isNotNull()).groupBy(F.col(text).alias("link_text"))
-    return g.agg(F.count("*").alias("n"), F.min_by(context, order).alias("first_context"), F.count_distinct(dest).alias("n_dests"))
+    return g.agg(F.count("*").alias("n"), F.min_by(context, order).alias("first_context"), F.count_distinct(dest).alias("n_dests")).orderBy(F.desc("n"), "link_text")
 
 
 def edition_counts(classified: DataFrame, by: list[str], kinds: list[str] | None = None) -> DataFrame:

@@ -41,7 +41,9 @@ def link_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def link_observations(spark: SparkSession, d: str) -> DataFrame:
-    return K.observations(_obs(spark, d), "link_text", "context_sample", "work_id", "obs_id").select("link_text", "n", F.coalesce("first_context", F.lit("")).alias("first_context"), "n_dests")
+    """Observations of links that no rule knows, in their order."""
+    unknown = _obs(spark, d).filter(K.classify_first(F.col("context_sample"))[0] == "unknown")
+    return K.observations(unknown, "link_text", "context_sample", "work_id", "obs_id").select("link_text", "n", F.coalesce("first_context", F.lit("")).alias("first_context"), "n_dests")
 
 
 def edition_link_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -86,35 +88,17 @@ def cross_act_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 # Vectors -----------------------------------------------------------------------------------------------------------
-def _query(spark: SparkSession, d: str) -> list[float]:
-    row = table(spark, d, "embeddings").filter("embedding is not null").orderBy("vec_id").select("embedding").first()
-    return list(row[0])
-
-
-def vector_topk(spark: SparkSession, d: str) -> DataFrame:
-    hits = X.top_k(table(spark, d, "embeddings"), "vec_id", "embedding", _query(spark, d), 10)
-    return X.citations(hits).select(F.col("id").alias("vec_id"), F.round("score", 6).alias("score"), "citation", "citation_error")
-
-
-def vector_labels(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings")
-    hits = X.top_k(e, "vec_id", "embedding", _query(spark, d), 10).join(e.select(F.col("vec_id").alias("id"), "label"), "id")
-    meta = hits.withColumn("metadata", F.array(F.struct(F.lit("label").alias("k"), (F.col("label") % 4).cast("string").alias("v")), F.struct(F.lit("other").alias("k"), F.lit("0").alias("v"))))
-    nodes = table(spark, d, "region").select(F.col("r_regionkey").cast("string").alias("id"), F.col("r_name").alias("label"))
-    return X.with_labels(meta, nodes).select(F.col("id").alias("vec_id"), F.array_join("labels", ",").alias("labels"))
-
-
 def _batch_hits(spark: SparkSession, d: str) -> DataFrame:
     """Top 10 of all rows for every row whose id is divisible by 50."""
     e = table(spark, d, "embeddings")
     return X.top_k_batch(e, "vec_id", "embedding", e.filter("vec_id % 50 = 0"), 10)
 
 
-def vector_topk_batch(spark: SparkSession, d: str) -> DataFrame:
+def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     return X.citations(_batch_hits(spark, d)).select(F.col("query").alias("query_id"), F.col("id").alias("vec_id"), F.round("score", 6).alias("score"), "citation", "citation_error")
 
 
-def vector_labels_batch(spark: SparkSession, d: str) -> DataFrame:
+def vector_labels(spark: SparkSession, d: str) -> DataFrame:
     hits = _batch_hits(spark, d)
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label").join(hits.select("id").distinct(), "id", "left_semi")
     meta = e.withColumn("metadata", F.array(F.struct(F.lit("label").alias("k"), (F.col("label") % 4).cast("string").alias("v")), F.struct(F.lit("other").alias("k"), F.lit("0").alias("v"))))
@@ -144,9 +128,9 @@ def _force(spark: SparkSession, d: str) -> DataFrame:
 
 
 def status_as_of(spark: SparkSession, d: str) -> DataFrame:
-    """Asked for: the ids below 2,000, as in the SQL, and every user that events has beyond them."""
+    """Asked for: every customer and every user of events."""
     force = _force(spark, d)
-    users = spark.range(0, 2000).select(F.col("id").alias("user_id")).union(force.select("user_id").na.drop().distinct())
+    users = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id")).union(force.select("user_id").na.drop())
     return T.status_as_of(force, "user_id", "day", "event_type", F.lit(AT).cast("date"), users)
 
 
@@ -161,19 +145,6 @@ def text_as_of(spark: SparkSession, d: str) -> DataFrame:
     return t.select("work_id", "number", "outcome", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"), F.size("texts").alias("n_texts"))
 
 
-def _log(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").select(F.concat(F.lit("o"), (F.col("o_orderkey") % 5000).cast("string")).alias("child"), F.concat(F.lit("c"), (F.col("o_custkey") % 40).cast("string")).alias("parent"), F.to_date("o_orderdate").alias("day"), "o_orderstatus")
-    return o.select(F.when(F.col("o_orderstatus") == "F", "detach").otherwise("attach").alias("kind"), "parent", "child", "day")
-
-
-def membership_fold(spark: SparkSession, d: str) -> DataFrame:
-    return T.membership(_log(spark, d), F.lit("1997-06-01").cast("date"))
-
-
-def membership_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    return T.membership_conflicts(_log(spark, d), F.lit("1997-06-01").cast("date"))
-
-
 def _order_log(spark: SparkSession, d: str, child: str = "o", parent: str = "c") -> DataFrame:
     """Orders under customers, or customers under orders, by their own keys: each is attached on the order's day and detached
     30 days later where the status is F."""
@@ -183,22 +154,17 @@ def _order_log(spark: SparkSession, d: str, child: str = "o", parent: str = "c")
     return attached.unionByName(o.filter("o_orderstatus = 'F'").select(F.lit("detach").alias("kind"), *keys, F.date_add("day", 30).alias("day")))
 
 
-def membership_fold_orders(spark: SparkSession, d: str) -> DataFrame:
+def membership_fold(spark: SparkSession, d: str) -> DataFrame:
     return T.membership(_order_log(spark, d), F.lit("1997-06-01").cast("date"))
 
 
-def membership_conflicts_customers(spark: SparkSession, d: str) -> DataFrame:
+def membership_conflicts(spark: SparkSession, d: str) -> DataFrame:
     """An order has one customer and no conflicts; a customer with several orders on a day has."""
     return T.membership_conflicts(_order_log(spark, d, "c", "o"), F.lit("1997-06-01").cast("date"))
 
 
-def presence_fold_users(spark: SparkSession, d: str) -> DataFrame:
-    log = table(spark, d, "events").filter("event_type in ('view', 'click')").select(F.col("user_id").alias("expression"), F.floor("value").cast("bigint").alias("component"), F.when(F.col("event_type") == "view", "include").otherwise("exclude").alias("kind"), F.to_date("ts").alias("day"))
-    return T.presence(log, F.lit(AT).cast("date"))
-
-
 def presence_fold(spark: SparkSession, d: str) -> DataFrame:
-    log = table(spark, d, "events").filter("event_type in ('view', 'click')").select((F.col("user_id") % 5).alias("expression"), (F.col("user_id") % 97).alias("component"), F.when(F.col("event_type") == "view", "include").otherwise("exclude").alias("kind"), F.to_date("ts").alias("day"))
+    log = table(spark, d, "events").filter("event_type in ('view', 'click')").select(F.col("user_id").alias("expression"), F.floor("value").cast("bigint").alias("component"), F.when(F.col("event_type") == "view", "include").otherwise("exclude").alias("kind"), F.to_date("ts").alias("day"))
     return T.presence(log, F.lit(AT).cast("date"))
 
 
@@ -218,7 +184,7 @@ def region_tree_pruned(spark: SparkSession, d: str) -> DataFrame:
 def status_structure(spark: SparkSession, d: str) -> DataFrame:
     s = T.status_as_of(_force(spark, d), "user_id", "day", "event_type", F.lit(AT).cast("date")).withColumn("user_id", F.concat(F.lit("c"), "user_id"))
     e = table(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("child"), F.concat(F.lit("n"), "c_nationkey").alias("parent"))
-    return T.status_with_structure(s, e, "user_id").select("user_id", "status", F.coalesce("parent", F.lit("")).alias("parent"), "structural_known")
+    return T.status_with_structure(s, e, "user_id").select("user_id", "status", F.coalesce("parent", F.lit("")).alias("parent"), "n_children", "structural_known")
 
 
 def clock_anchors(spark: SparkSession, d: str) -> DataFrame:
@@ -234,28 +200,15 @@ def _refines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def marker_changes(spark: SparkSession, d: str) -> DataFrame:
-    m = table(spark, d, "marker_bodies").filter("number is not null and work_id is not null").select("work_id", "marker_level", tidy("number").alias("number"), "edition_number", "marker_id")
-    diff = M.marker_diff(m.filter("edition_number = 1"), m.filter("edition_number = 2"), ["work_id", "marker_level", "number"])
-    return diff.select("marker_id", "change")
-
-
-def text_changes(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "article_texts").filter("number is not null and work_id is not null").withColumn("number", tidy("number"))
-    key = ["work_id", "number"]
-    one, two = (M.first_of_key(a.filter(F.col("edition_number") == e).select(*key, "text", "article_id"), key, "article_id") for e in (1, 2))
-    return M.text_drafts(one, two, key, "text")
-
-
-def marker_changes_all(spark: SparkSession, d: str) -> DataFrame:
-    """marker_changes for every edition against the next lower one that has rows, under the higher edition's number."""
+    """Markers of every edition against the next lower one that has rows, under the higher edition's number."""
     m = table(spark, d, "marker_bodies")
     counted = m.filter("number is not null and work_id is not null").select("work_id", "marker_level", tidy("number").alias("number"), "edition_number", "marker_id")
     before, after = M.edition_pairs(m, "edition_number", counted)
     return M.marker_diff(before, after, ["edition_number", "work_id", "marker_level", "number"]).select("edition_number", "marker_id", "change")
 
 
-def text_changes_all(spark: SparkSession, d: str) -> DataFrame:
-    """text_changes for every edition against the next lower one that has rows, under the higher edition's number."""
+def text_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Texts of every edition against the next lower one that has rows, under the higher edition's number."""
     a = table(spark, d, "article_texts")
     key = ["edition_number", "work_id", "number"]
     counted = a.filter("number is not null and work_id is not null and edition_number is not null").withColumn("number", tidy("number"))
@@ -268,18 +221,6 @@ def structure_drift(spark: SparkSession, d: str) -> DataFrame:
     return M.drift(e, table(spark, d, "customer").select(F.col("c_custkey").alias("id")), "id")
 
 
-def healed_drift(spark: SparkSession, d: str) -> DataFrame:
-    at = F.lit("1997-06-01").cast("date")
-    log = _log(spark, d).filter(F.col("day") <= at)
-    expected = table(spark, d, "orders").groupBy(F.concat(F.lit("o"), (F.col("o_orderkey") % 5000).cast("string")).alias("child")).agg(F.min(F.concat(F.lit("c"), (F.col("o_custkey") % 40).cast("string"))).alias("parent"))
-    now = T.membership(log, at)
-    bad = T.membership_conflicts(log, at).select("child").distinct()
-    expected = expected.join(bad, "child", "left_anti")
-    days = log.withColumn("day", F.datediff("day", F.lit("1970-01-01").cast("date")))
-    healed = M.heal(days, expected, now.select("child"), 20000)
-    return M.drift(expected, T.membership(healed, 30000), "child").select("missing")
-
-
 def _healed(log: DataFrame, name: str) -> DataFrame:
     at = F.lit("1997-06-01").cast("date")
     expected = log.filter("kind = 'attach'").groupBy("child").agg(F.min("parent").alias("parent"))
@@ -290,7 +231,7 @@ def _healed(log: DataFrame, name: str) -> DataFrame:
     return M.drift(expected, now, "child").select(F.lit(name).alias("log"), F.col("missing").alias("absent")).crossJoin(left.select("missing"))
 
 
-def healed_drift_all(spark: SparkSession, d: str) -> DataFrame:
+def healed_drift(spark: SparkSession, d: str) -> DataFrame:
     """Children absent at the day and children missing after healing, of all that are ever attached. Those with a conflict
     count as well: membership leaves them out, so healing can't bring them back."""
     return _healed(_order_log(spark, d), "orders").unionByName(_healed(_order_log(spark, d, "c", "o"), "customers"))
@@ -312,12 +253,6 @@ def dependency_closure(spark: SparkSession, d: str) -> DataFrame:
 
 
 def admitted_edges(spark: SparkSession, d: str) -> DataFrame:
-    """Admission of the proposed edges of the membership log, each nation one document."""
-    o = table(spark, d, "lineitem").select((F.col("l_suppkey") % 50).alias("doc"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), F.concat(F.lit("p"), F.col("l_partkey") % 60).alias("child"), F.concat(F.lit("p"), F.col("l_orderkey") % 60).alias("parent"))
-    return M.admit(o, "doc").groupBy("doc", "outcome").agg(F.count("*").alias("n"))
-
-
-def admitted_edges_parts(spark: SparkSession, d: str) -> DataFrame:
     """Admission by supplier: each line proposes its part under the part of the line before it in its order."""
     from pyspark.sql.window import Window as W
 
@@ -422,7 +357,7 @@ def chain_check(spark: SparkSession, d: str) -> DataFrame:
 
 
 def replay_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    r = table(spark, d, "events").select("event_id", (F.col("user_id") % 30).alias("op"), F.col("event_type").alias("effect"), "value")
+    r = table(spark, d, "events").select("event_id", F.col("user_id").alias("op"), F.col("event_type").alias("effect"), "value")
     return R.replay(r, "op", "effect", "event_id", [(F.col("value") < 1, "incomplete"), (F.col("value") > 99, "corrupt")]).groupBy("op", "outcome").agg(F.count("*").alias("n"))
 
 
@@ -432,12 +367,12 @@ def intake_attempts(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    link_classes, link_scores, link_edges, link_observations, edition_link_counts, edition_link_deltas, catalog_latest, catalog_misses, document_groups, corpus_roles, cross_act_edges,
-    vector_topk, vector_labels, vector_topk_batch, vector_labels_batch, nodes_by_label, graph_upserts, evidence_answers, status_as_of, status_at_orders, text_as_of, membership_fold, membership_conflicts, presence_fold,
-    membership_fold_orders, membership_conflicts_customers, presence_fold_users, healed_drift_all, admitted_edges_parts,
-    region_tree, region_tree_pruned, status_structure, clock_anchors, marker_changes, text_changes, marker_changes_all, text_changes_all, structure_drift, healed_drift, forest_roots, edge_guards, dependency_closure, admitted_edges,
-    registry_bindings, write_set_counts, registry_missing_ends, registry_untraced, registry_contradictions, registry_unchecked, registry_superseded, registry_evidence, registry_buckets,
-    registry_matrix, registry_surfaces, registry_coverage, extractor_scores, conformance_rollup, status_rollup, chain_check, replay_outcomes, intake_attempts,
+    link_classes, link_scores, link_edges, link_observations, edition_link_counts, edition_link_deltas, catalog_latest, catalog_misses, document_groups, corpus_roles,
+    cross_act_edges, vector_topk, vector_labels, nodes_by_label, graph_upserts, evidence_answers, status_as_of, status_at_orders, text_as_of, membership_fold,
+    membership_conflicts, presence_fold, healed_drift, admitted_edges, region_tree, region_tree_pruned, status_structure, clock_anchors, marker_changes, text_changes,
+    structure_drift, forest_roots, edge_guards, dependency_closure, registry_bindings, write_set_counts, registry_missing_ends, registry_untraced, registry_contradictions,
+    registry_unchecked, registry_superseded, registry_evidence, registry_buckets, registry_matrix, registry_surfaces, registry_coverage, extractor_scores,
+    conformance_rollup, status_rollup, chain_check, replay_outcomes, intake_attempts,
 )}
 
 # The same results in SQL -----------------------------------------------------------------------------------------
@@ -476,9 +411,6 @@ def _ranked(fields: dict[str, str], needles, source: str, key: str, conflicts: b
 _FORCE = f"""WITH f AS (SELECT user_id, ts::date AS day, event_type FROM events WHERE user_id IS NOT NULL AND ts::date <= DATE '{AT}'),
   l AS (SELECT user_id, min(event_type) AS lo, max(event_type) AS hi FROM f WHERE day = (SELECT max(day) FROM f g WHERE g.user_id = f.user_id) GROUP BY 1),
   st AS (SELECT user_id, CASE WHEN lo = hi THEN lo ELSE 'unknown' END AS status, CASE WHEN lo = hi THEN 'resolved' ELSE 'conflict' END AS outcome FROM l)"""
-_LOG = """log AS (SELECT CASE WHEN o_orderstatus = 'F' THEN 'detach' ELSE 'attach' END AS kind, 'c' || (o_custkey % 40) AS parent, 'o' || (o_orderkey % 5000) AS child, o_orderdate::date AS day FROM orders WHERE o_orderdate::date <= DATE '1997-06-01'),
-  daily AS (SELECT child, day, min(parent) AS lo, max(parent) AS hi, count(DISTINCT parent) AS k FROM log WHERE kind = 'attach' GROUP BY 1, 2)"""
-
 
 def _order_sql(log: str, child: str, parent: str) -> str:
     """CTEs {log}_log, its attaches by day and fold at the day, then the same with what is healed."""
@@ -506,9 +438,6 @@ _EDGES = f"edges AS (SELECT id AS edge_id, {_tid('from_id')} AS from_id, {_tid('
 _MK = f"(SELECT work_id, marker_level, trim(number, {_WS}) AS number, edition_number, marker_id FROM marker_bodies WHERE number IS NOT NULL AND work_id IS NOT NULL)"
 _ART = f"(SELECT *, trim(number, {_WS}) AS n FROM article_texts WHERE number IS NOT NULL AND work_id IS NOT NULL AND edition_number IS NOT NULL)"
 _COS = "list_sum(list_transform(list_zip(embedding, q), lambda x: x[1]::double * x[2]::double))"
-_HITS = f"""q AS (SELECT embedding AS q FROM embeddings WHERE embedding IS NOT NULL ORDER BY vec_id LIMIT 1),
-  hits AS (SELECT vec_id, label, greatest(0, least(1, {_COS} / (sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))) * sqrt(list_sum(list_transform(q, lambda x: x::double * x::double)))))) AS score
-  FROM embeddings, q WHERE embedding IS NOT NULL ORDER BY score DESC, vec_id LIMIT 10)"""
 _BATCH = f"""q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE embedding IS NOT NULL AND vec_id % 50 = 0),
   scored AS (SELECT query_id, vec_id, label, greatest(0, least(1, {_COS} / (sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))) * sqrt(list_sum(list_transform(q, lambda x: x::double * x::double)))))) AS score
   FROM embeddings, q WHERE embedding IS NOT NULL), hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored) WHERE r <= 10)"""
@@ -520,7 +449,7 @@ ORACLES: dict[str, str] = {
     "link_scores": _scored(),
     "link_edges": f"""SELECT CASE WHEN kind = 'amends' THEN link_text ELSE work_id END AS edge_from, CASE WHEN kind = 'amends' THEN work_id ELSE link_text END AS edge_to, kind, obs_id::varchar AS provenance
       FROM (SELECT *, {_first('context_sample', 0)} AS kind FROM observations WHERE work_id IS NOT NULL AND link_text IS NOT NULL AND obs_id IS NOT NULL) WHERE kind <> 'unknown'""",
-    "link_observations": "SELECT link_text, count(*) AS n, coalesce(nullif(min_by(coalesce(context_sample, chr(0)), obs_id), chr(0)), '') AS first_context, count(DISTINCT work_id) AS n_dests FROM observations WHERE link_text IS NOT NULL GROUP BY link_text",
+    "link_observations": f"SELECT link_text, count(*) AS n, coalesce(nullif(min_by(coalesce(context_sample, chr(0)), obs_id), chr(0)), '') AS first_context, count(DISTINCT work_id) AS n_dests FROM observations WHERE link_text IS NOT NULL AND obs_id IS NOT NULL AND {_first('context_sample', 0)} = 'unknown' GROUP BY link_text",
     "edition_link_counts": f"SELECT edition_number, count(*) AS n_links, " + ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in ("amends", "cites", "implements", "specifies", "unknown")) + f" FROM (SELECT edition_number, {_first('text', 0)} AS kind FROM article_texts WHERE text IS NOT NULL) GROUP BY 1",
     "edition_link_deltas": "SELECT edition_number, " + ", ".join(f"coalesce({c} - lag({c}) OVER (ORDER BY edition_number), 0) AS d_{c}" for c in _COUNTS) + " FROM (SELECT edition_number, " + ", ".join(f"max({c}) AS {c}" for c in _COUNTS) + " FROM edition_summaries GROUP BY 1)",
     "catalog_latest": """WITH e AS (SELECT o_custkey AS s, arg_max(o_orderkey, {'a': coalesce(CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 5 END, 0), 'b': strftime(o_orderdate, '%Y-%m-%d'), 'c': o_orderkey}) AS edition_id FROM orders GROUP BY 1)
@@ -531,48 +460,39 @@ ORACLES: dict[str, str] = {
     "corpus_roles": _ranked({"title": "title"}, V.ROLE_NEEDLES, "article_texts", "article_id", False),
     "cross_act_edges": f"""SELECT id AS edge_id, CASE WHEN {_tid('from_id')} IS NOT DISTINCT FROM {_tid('to_id')} THEN 'self edge' WHEN coalesce(lower(trim(edge_type, {_WS})), '') NOT IN ({", ".join(f"'{k}'" for k in V.CROSS_ACT_KINDS)}) THEN 'unknown kind'
       WHEN coalesce(trim(rationale), '') = '' THEN 'missing provenance' ELSE '' END AS error FROM valid_edges""",
-    "vector_topk": f"WITH {_HITS} SELECT vec_id, round(score, 6) AS score, 'vector-store:' || vec_id AS citation, '' AS citation_error FROM hits",
-    "vector_labels": f"WITH {_HITS} SELECT vec_id, coalesce(r_name, '') AS labels FROM hits LEFT JOIN region ON r_regionkey = label % 4",
-    "vector_topk_batch": f"WITH {_BATCH} SELECT query_id, vec_id, round(score, 6) AS score, 'vector-store:' || vec_id AS citation, '' AS citation_error FROM hits",
-    "vector_labels_batch": f"WITH {_BATCH} SELECT query_id, vec_id, coalesce(r_name, '') AS labels FROM hits LEFT JOIN region ON r_regionkey = label % 4",
+    "vector_topk": f"WITH {_BATCH} SELECT query_id, vec_id, round(score, 6) AS score, 'vector-store:' || vec_id AS citation, '' AS citation_error FROM hits",
+    "vector_labels": f"WITH {_BATCH} SELECT query_id, vec_id, coalesce(r_name, '') AS labels FROM hits LEFT JOIN region ON r_regionkey = label % 4",
     "nodes_by_label": "SELECT vec_id AS id, label FROM embeddings WHERE label = 3",
     "graph_upserts": "SELECT user_id AS source, day(ts)::int AS target, arg_max(event_type, event_id) AS label FROM events GROUP BY 1, 2",
     "evidence_answers": """SELECT o_custkey AS request, count(*) AS requested, count(*) FILTER (hit) AS found, CASE WHEN count(*) FILTER (hit) = 0 THEN 'no_answer' WHEN count(*) FILTER (hit) = count(*) THEN 'answered' ELSE 'partial' END AS outcome
       FROM (SELECT o_custkey, o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') AS hit FROM orders) GROUP BY 1""",
-    "status_as_of": f"{_FORCE} SELECT u.range AS user_id, coalesce(status, 'unknown') AS status, coalesce(outcome, 'unknown') AS outcome FROM range(0, 2000) u LEFT JOIN st ON st.user_id = u.range",
+    "status_as_of": f"{_FORCE} SELECT u.u AS user_id, coalesce(status, 'unknown') AS status, coalesce(outcome, 'unknown') AS outcome FROM (SELECT c_custkey AS u FROM customer UNION SELECT user_id FROM events WHERE user_id IS NOT NULL) u LEFT JOIN st ON st.user_id = u.u",
     "status_at_orders": f"""WITH e AS (SELECT user_id, ts::date AS day, max(event_type) AS v FROM events WHERE event_type IS NOT NULL GROUP BY 1, 2)
       SELECT c_custkey AS user_id, c_nationkey, coalesce((SELECT arg_max(v, day) FROM e WHERE e.user_id = c_custkey AND day <= DATE '{AT}'), 'unknown') AS status FROM customer""",
     "text_as_of": f"""WITH a AS (SELECT * FROM {_ART} WHERE edition_number <= 4), t AS (SELECT * FROM (SELECT *, rank() OVER (PARTITION BY work_id, n ORDER BY edition_number DESC) AS r FROM a) WHERE r = 1)
       SELECT work_id, n AS number, CASE WHEN count(*) = 1 THEN 'resolved' ELSE 'conflict' END AS outcome, md5(CASE WHEN count(*) = 1 THEN coalesce(max(text), '') ELSE '' END) AS text_md5, CAST(CASE WHEN count(*) = 1 THEN 0 ELSE count(*) END AS INT) AS n_texts FROM t GROUP BY 1, 2""",
-    "membership_fold": f"""WITH {_LOG}, l AS (SELECT child, arg_max(lo, day) AS parent, max(day) AS since, bool_or(k > 1) AS bad FROM daily GROUP BY 1)
-      SELECT child, parent FROM l WHERE NOT bad AND NOT EXISTS (SELECT 1 FROM log d WHERE d.kind = 'detach' AND d.child = l.child AND d.parent = l.parent AND d.day >= l.since)""",
-    "membership_conflicts": f"WITH {_LOG} SELECT day, child, k AS n_parents FROM daily WHERE k > 1",
-    "membership_fold_orders": f"WITH {_order_sql('orders', 'o', 'c')} SELECT child, parent FROM orders_fold",
-    "membership_conflicts_customers": f"WITH {_order_sql('customers', 'c', 'o')} SELECT day, child, k AS n_parents FROM customers_daily WHERE k > 1",
-    "presence_fold_users": f"""WITH d AS (SELECT user_id AS expression, floor(value)::bigint AS component, ts::date AS day, bool_or(event_type = 'view') AS i, bool_or(event_type = 'click') AS x FROM events WHERE event_type IN ('view', 'click') AND ts::date <= DATE '{AT}' GROUP BY 1, 2, 3)
-      SELECT expression, component, CASE WHEN i AND x THEN 'conflict' WHEN i THEN 'included' ELSE 'excluded' END AS outcome FROM (SELECT *, row_number() OVER (PARTITION BY expression, component ORDER BY day DESC) AS r FROM d) WHERE r = 1""",
-    "healed_drift_all": f"WITH {_order_sql('orders', 'o', 'c')}, {_order_sql('customers', 'c', 'o')} {_healed_sql('orders')} UNION ALL {_healed_sql('customers')}",
-    "presence_fold": f"""WITH d AS (SELECT user_id % 5 AS expression, user_id % 97 AS component, ts::date AS day, bool_or(event_type = 'view') AS i, bool_or(event_type = 'click') AS x FROM events WHERE event_type IN ('view', 'click') AND ts::date <= DATE '{AT}' GROUP BY 1, 2, 3)
+    "membership_fold": f"WITH {_order_sql('orders', 'o', 'c')} SELECT child, parent FROM orders_fold",
+    "membership_conflicts": f"WITH {_order_sql('customers', 'c', 'o')} SELECT day, child, k AS n_parents FROM customers_daily WHERE k > 1",
+    "presence_fold": f"""WITH d AS (SELECT user_id AS expression, floor(value)::bigint AS component, ts::date AS day, bool_or(event_type = 'view') AS i, bool_or(event_type = 'click') AS x FROM events WHERE event_type IN ('view', 'click') AND ts::date <= DATE '{AT}' GROUP BY 1, 2, 3)
       SELECT expression, component, CASE WHEN i AND x THEN 'conflict' WHEN i THEN 'included' ELSE 'excluded' END AS outcome FROM (SELECT *, row_number() OVER (PARTITION BY expression, component ORDER BY day DESC) AS r FROM d) WHERE r = 1""",
+    "healed_drift": f"WITH {_order_sql('orders', 'o', 'c')}, {_order_sql('customers', 'c', 'o')} {_healed_sql('orders')} UNION ALL {_healed_sql('customers')}",
     "region_tree": f"{_TREE} SELECT node, '' AS parent, node AS root, 0 AS depth FROM roots UNION ALL SELECT e.child, e.parent, e.parent, 1 FROM e JOIN roots ON roots.node = e.parent UNION ALL SELECT f.child, f.parent, e.parent, 2 FROM e JOIN roots ON roots.node = e.parent JOIN e f ON f.parent = e.child",
     "region_tree_pruned": "WITH p AS (SELECT * FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_acctbal > 9900) SELECT DISTINCT 'c' || c_custkey AS node, 2 AS depth FROM p UNION SELECT 'n' || n_nationkey, 1 FROM p UNION SELECT 'r' || n_regionkey, 0 FROM p",
-    "status_structure": f"{_FORCE} SELECT 'c' || user_id AS user_id, status, coalesce('n' || c_nationkey, '') AS parent, c_custkey IS NOT NULL AS structural_known FROM st LEFT JOIN customer ON c_custkey = user_id",
+    "status_structure": f"{_FORCE} SELECT 'c' || user_id AS user_id, status, coalesce('n' || c_nationkey, '') AS parent, 0::bigint AS n_children, c_custkey IS NOT NULL AS structural_known FROM st LEFT JOIN customer ON c_custkey = user_id",
     "clock_anchors": "SELECT c_custkey AS request, CASE WHEN bool_or(event_type = 'purchase') THEN 'resolved' WHEN count(event_id) > 0 THEN 'substitute_rejected' ELSE 'missing_anchor' END AS outcome FROM customer LEFT JOIN events ON user_id = c_custkey GROUP BY 1",
-    "marker_changes": f"""WITH m AS {_MK} SELECT marker_id, 'removed' AS change FROM m a WHERE edition_number = 1 AND NOT EXISTS (SELECT 1 FROM m b WHERE b.edition_number = 2 AND a.work_id = b.work_id AND a.marker_level = b.marker_level AND a.number = b.number)
-      UNION ALL SELECT marker_id, 'added' FROM m a WHERE edition_number = 2 AND NOT EXISTS (SELECT 1 FROM m b WHERE b.edition_number = 1 AND a.work_id = b.work_id AND a.marker_level = b.marker_level AND a.number = b.number)""",
-    "text_changes": f"""WITH f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY edition_number, work_id, n ORDER BY article_id) AS r FROM {_ART}) WHERE r = 1), a AS (SELECT * FROM f WHERE edition_number = 2), b AS (SELECT * FROM f WHERE edition_number = 1)
-      SELECT coalesce(a.work_id, b.work_id) AS work_id, coalesce(a.n, b.n) AS number, CASE WHEN a.work_id IS NULL THEN 'detach' ELSE 'attach' END AS kind FROM a FULL JOIN b ON a.work_id = b.work_id AND a.n = b.n WHERE a.work_id IS NULL OR b.work_id IS NULL OR a.text IS DISTINCT FROM b.text""",
-    "marker_changes_all": f"""WITH x AS (SELECT e, lag(e) OVER (ORDER BY e) AS b FROM (SELECT DISTINCT edition_number AS e FROM marker_bodies WHERE edition_number IS NOT NULL)), m AS {_MK}
+    "marker_changes": f"""WITH x AS (SELECT e, lag(e) OVER (ORDER BY e) AS b FROM (SELECT DISTINCT edition_number AS e FROM marker_bodies WHERE edition_number IS NOT NULL)), m AS {_MK}
       SELECT x.e AS edition_number, marker_id, 'removed' AS change FROM m a JOIN x ON a.edition_number = x.b WHERE NOT EXISTS (SELECT 1 FROM m b WHERE b.edition_number = x.e AND a.work_id = b.work_id AND a.marker_level = b.marker_level AND a.number = b.number)
       UNION ALL SELECT x.e, marker_id, 'added' FROM m a JOIN x ON a.edition_number = x.e AND x.b IS NOT NULL WHERE NOT EXISTS (SELECT 1 FROM m b WHERE b.edition_number = x.b AND a.work_id = b.work_id AND a.marker_level = b.marker_level AND a.number = b.number)""",
-    "text_changes_all": f"""WITH x AS (SELECT e, lag(e) OVER (ORDER BY e) AS before FROM (SELECT DISTINCT edition_number AS e FROM article_texts WHERE edition_number IS NOT NULL)),
+    "text_changes": f"""WITH x AS (SELECT e, lag(e) OVER (ORDER BY e) AS before FROM (SELECT DISTINCT edition_number AS e FROM article_texts WHERE edition_number IS NOT NULL)),
       f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY edition_number, work_id, n ORDER BY article_id) AS r FROM {_ART}) WHERE r = 1),
       a AS (SELECT x.e, f.* FROM f JOIN x ON edition_number = x.e AND x.before IS NOT NULL), b AS (SELECT x.e, f.* FROM f JOIN x ON edition_number = x.before)
       SELECT coalesce(a.e, b.e) AS edition_number, coalesce(a.work_id, b.work_id) AS work_id, coalesce(a.n, b.n) AS number, CASE WHEN a.e IS NULL THEN 'detach' ELSE 'attach' END AS kind FROM a FULL JOIN b ON a.e = b.e AND a.work_id = b.work_id AND a.n = b.n
       WHERE a.e IS NULL OR b.e IS NULL OR a.text IS DISTINCT FROM b.text""",
     "structure_drift": """WITH e AS (SELECT o_custkey AS id FROM orders WHERE o_orderdate < '1996-01-01'), d AS (SELECT DISTINCT id FROM e) SELECT count(*) FILTER (c_custkey IS NULL) AS missing, count(*) FILTER (id IS NULL) AS phantom,
       count(*) FILTER (c_custkey IS NULL OR id IS NULL) AS drift, (SELECT count(id) FROM e) AS expected FROM d FULL JOIN customer ON c_custkey = id""",
-    "healed_drift": "SELECT 0 AS missing",
+    "dependency_closure": f"""WITH RECURSIVE e AS (SELECT DISTINCT child, parent FROM {_REFINES}), reach AS (SELECT DISTINCT child AS seed, child AS n FROM e UNION SELECT r.seed, e.parent FROM reach r JOIN e ON e.child = r.n),
+      known AS (SELECT child AS n FROM e UNION SELECT {_tid('id')} FROM valid_items WHERE {_tid('id')} IS NOT NULL), s AS (SELECT seed, count(*) AS k, bool_and(reach.n IN (SELECT n FROM known)) AS ok FROM reach GROUP BY 1),
+      o AS (SELECT CASE WHEN k > 8 THEN 'unbounded' WHEN NOT ok THEN 'incomplete' ELSE 'complete' END AS outcome, k FROM s) SELECT outcome, count(*) AS n, coalesce(sum(k) FILTER (outcome = 'complete'), 0)::bigint AS affected FROM o GROUP BY 1""",
     "forest_roots": f"SELECT DISTINCT parent AS node FROM {_REFINES} WHERE parent NOT IN (SELECT child FROM {_REFINES})",
     "registry_bindings": f"SELECT work_id, marker_level, trim(number, {_WS}) AS number, CASE WHEN count(DISTINCT coalesce(title, '')) = 1 THEN 'bound' ELSE 'conflict' END AS outcome FROM marker_bodies WHERE work_id IS NOT NULL AND number IS NOT NULL AND marker_level IS NOT NULL GROUP BY ALL",
     "write_set_counts": f"""WITH a AS (SELECT work_id, work_id || ':' || edition_number AS x, work_id || '/' || trim(number, {_WS}) AS c FROM article_texts WHERE number IS NOT NULL)
@@ -599,7 +519,7 @@ ORACLES: dict[str, str] = {
       b AS (SELECT user_id, own, CASE WHEN event_id % 100 = 7 THEN 'x' ELSE prev END AS prev, CASE WHEN event_id % 250 = 9 THEN seq + 1 ELSE seq END AS seq FROM c),
       v AS (SELECT *, row_number() OVER w AS k, lag(own) OVER w AS h FROM b WINDOW w AS (PARTITION BY user_id ORDER BY seq, own))
       SELECT 'sequence' AS violation, count(*) AS n FROM v WHERE seq <> k UNION ALL SELECT 'previous', count(*) FROM v WHERE prev IS DISTINCT FROM h""",
-    "replay_outcomes": """WITH r AS (SELECT *, user_id % 30 AS op, CASE WHEN value < 1 THEN 'incomplete' WHEN value > 99 THEN 'corrupt' ELSE '' END AS e FROM events),
+    "replay_outcomes": """WITH r AS (SELECT *, user_id AS op, CASE WHEN value < 1 THEN 'incomplete' WHEN value > 99 THEN 'corrupt' ELSE '' END AS e FROM events),
       o AS (SELECT op, CASE WHEN e <> '' THEN e WHEN row_number() OVER (PARTITION BY op, event_type, e ORDER BY event_id) = 1 THEN 'applied' ELSE 'suppressed' END AS outcome FROM r) SELECT op, outcome, count(*) AS n FROM o GROUP BY 1, 2""",
     "intake_attempts": "SELECT obs_id, CAST(row_number() OVER (PARTITION BY sha256(context_sample) ORDER BY obs_id) AS INT) AS attempt FROM observations WHERE context_sample IS NOT NULL",
 }
