@@ -101,7 +101,28 @@ class _Rows:
         owner, pos, item = self.ix.items(self.ix.get(self.packet, "events"))
         real = ~self.ix.is_null(item)
         owner, pos, item = owner[real], pos[real], item[real]
-        return self.doc[owner], {"event_pos": list(pos), "status": list(self.status[owner])} | self.of(item, event_id="event_id", event_type="event_type", at="at", actor_class="actor_class", payload="payload")
+        return self.doc[owner], {"event_pos": list(pos), "status": list(self.status[owner])} | self.of(item, event_id="event_id", event_type="event_type", at="at", actor_class="actor_class", payload="payload") | self.of(self.ix.get(item, "payload", OPEN_O), disposition="disposition")
+
+    def event_items(self) -> tuple[np.ndarray, dict[str, list]]:
+        """The lists inside the payloads of events."""
+        ix = self.ix
+        owner, pos, item = ix.items(ix.get(self.packet, "events"))
+        load = ix.get(item, "payload", OPEN_O)
+        docs, cols = [], {"event_pos": [], "list": [], "item_pos": [], "item": []}
+        for name in ("evidence_anchors", "non_claims"):
+            o, p, i = ix.items(ix.get(load, name))
+            real = ~ix.is_null(i)
+            o, p, i = o[real], p[real], i[real]
+            docs.append(self.doc[owner[o]])
+            for c, v in zip(cols.values(), (pos[o], [name] * len(o), p, ix.texts(i))):
+                c.extend(v)
+        return np.concatenate(docs), cols
+
+    def edges(self) -> tuple[np.ndarray, dict[str, list]]:
+        owner, pos, item = self.ix.items(self.ix.get(self.packet, "edges"))
+        real = ~self.ix.is_null(item)
+        owner, pos, item = owner[real], pos[real], item[real]
+        return self.doc[owner], {"edge_pos": list(pos), "status": list(self.status[owner])} | self.of(item, edge_type="type", from_ref="from", to_ref="to", edge_status="status")
 
     def non_claims(self) -> tuple[np.ndarray, dict[str, list]]:
         ix = self.ix
@@ -123,7 +144,9 @@ TABLES: dict[str, dict[str, pa.DataType]] = {
     "findings": {"finding_pos": _I} | dict.fromkeys(("finding_id", "status", "kind", "concern_class", "reviewer_severity", "summary", "required_proof_class", "normalization_status", "disposition_status", "execution_status", "verification_status"), _S),
     "spans": {"finding_pos": _I, "span_pos": _I} | dict.fromkeys(("finding_id", "status", "path", "line_start", "line_end", "quote_sha256", "heading"), _S),
     "targets": {"finding_pos": _I, "target_pos": _I} | dict.fromkeys(("finding_id", "status", "surface", "target_id", "note"), _S),
-    "events": {"event_pos": _I} | dict.fromkeys(("status", "event_id", "event_type", "at", "actor_class", "payload"), _S),
+    "edges": {"edge_pos": _I} | dict.fromkeys(("status", "edge_type", "from_ref", "to_ref", "edge_status"), _S),
+    "events": {"event_pos": _I} | dict.fromkeys(("status", "event_id", "event_type", "at", "actor_class", "payload", "disposition"), _S),
+    "event_items": {"event_pos": _I, "list": _S, "item_pos": _I, "item": _S},
     "non_claims": {"finding_pos": _I, "claim_pos": _I} | dict.fromkeys(("finding_id", "status", "claim"), _S),
 }
 

@@ -40,7 +40,9 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _flat(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, d: flatten(table(spark, d, "review_packets"), "record_id", "payload", name)
+    """A flat table; of an event's payload its members, not its text, which ``flatten`` gives as written."""
+    columns = [c for c in TABLES[name] if c != "payload"]
+    return lambda spark, d: flatten(table(spark, d, "review_packets"), "record_id", "payload", name, columns)
 
 
 def _article_changes(spark: SparkSession, d: str) -> DataFrame:
@@ -133,7 +135,47 @@ _ENDS = f"""WITH items AS (SELECT upper(trim(id, {_WS})) AS i, recorded_at AS r,
     FROM ends e LEFT JOIN items i ON e.ref = i.i GROUP BY ALL),
   found AS (SELECT edge_id, side, t, CASE WHEN n = 0 THEN 'missing' WHEN known > 0 THEN 'deleted' ELSE 'late' END AS kind FROM judged WHERE live = 0)"""
 
+#: Packets by the engine's JSON functions: the text without marks before it, out of strings that hold it.
+_LEAD = "chr(65279)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||chr(28)||chr(29)||chr(30)||chr(31)||' '||chr(133)||chr(160)||chr(5760)||chr(8192)||chr(8193)||chr(8194)||chr(8195)||chr(8196)||chr(8197)||chr(8198)||chr(8199)||chr(8200)||chr(8201)||chr(8202)||chr(8232)||chr(8233)||chr(8239)||chr(8287)||chr(12288)"
+_OUT = "SELECT record_id, ltrim(CASE WHEN starts_with(t, '\"') THEN CASE WHEN json_valid(t) THEN json_extract_string(t, '$') END ELSE t END, {lead}) AS t FROM {source}"
+_ITEMS_OF = "CASE WHEN json_type({v}) = 'ARRAY' THEN json_extract({v}, '$[*]') WHEN coalesce(json_type({v}), 'NULL') = 'NULL' THEN []::json[] ELSE [{v}] END"
+
+
+_SPANS, _TARGETS, _EVENTS, _EDGES_OF = (f"json_extract({v}, '$.{n}')" for v, n in (("f", "source_spans"), ("f", "candidate_targets"), ("p", "events"), ("p", "edges")))
+
+
+def _each(name: str, source: str, keep: str, value: str, pos: str) -> str:
+    """CTE of the items, other than null, of a list in each row of a source."""
+    return f"{name} AS (SELECT {keep}, generate_subscripts(a, 1) - 1 AS {pos}, unnest(a) AS {name}_v FROM (SELECT {keep}, {_ITEMS_OF.format(v=value)} AS a FROM {source}))"
+
+
+_PACKET = f"""WITH t0 AS (SELECT record_id, ltrim(payload, {_LEAD}) AS t FROM review_packets WHERE payload IS NOT NULL AND record_id IS NOT NULL), t1 AS ({_OUT.format(lead=_LEAD, source='t0')}), t2 AS ({_OUT.format(lead=_LEAD, source='t1')}),
+  o AS (SELECT record_id, t::json AS t FROM t2 WHERE CASE WHEN json_valid(t) THEN json_type(t) = 'OBJECT' ELSE false END),
+  p AS (SELECT record_id, CASE WHEN json_type(t, '$.packet') = 'OBJECT' THEN json_extract(t, '$.packet') WHEN json_type(t, '$.envelope.packet') = 'OBJECT' THEN json_extract(t, '$.envelope.packet') ELSE t END AS p FROM o),
+  q AS (SELECT record_id, p, coalesce(CASE WHEN json_type(p, '$.normalization') = 'OBJECT' THEN json_extract_string(p, '$.normalization.status') END, '') AS status FROM p),
+  {_each('f0', 'q', 'record_id, status', "json_extract(p, '$.findings')", 'finding_pos')}, f AS (SELECT record_id, status, finding_pos::int AS finding_pos, f0_v AS f, coalesce(json_extract_string(f0_v, '$.finding_id'), '') AS finding_id FROM f0 WHERE json_type(f0_v) <> 'NULL'),
+  {_each('c1', 'q', 'record_id, status', "json_extract(p, '$.non_claims')", 'claim_pos')}, {_each('c2', 'f', 'record_id, status, finding_pos, finding_id', "json_extract(f, '$.non_claims')", 'claim_pos')},
+  c AS (SELECT record_id, -1 AS finding_pos, claim_pos::int AS claim_pos, '' AS finding_id, status, json_extract_string(c1_v, '$') AS claim FROM c1 WHERE json_type(c1_v) <> 'NULL' UNION ALL SELECT record_id, finding_pos, claim_pos::int, finding_id, status, json_extract_string(c2_v, '$') FROM c2 WHERE json_type(c2_v) <> 'NULL')"""
+
+
+def _members(v: str, **names: str) -> str:
+    return ", ".join(f"json_extract_string({v}, '$.{path}') AS {out}" for out, path in names.items())
+
+
+def _same(*names: str) -> dict[str, str]:
+    return {n: n for n in names}
+
+
 ORACLES: dict[str, str] = {
+    "p3_found": f"{_PACKET} SELECT record_id, finding_pos, claim_pos, finding_id, status FROM c",
+    "p3_non_claims": f"{_PACKET} SELECT * FROM c",
+    "p3_packets": f"{_PACKET} SELECT record_id, {_members('p', packet_id='packet_id', schema_version='schema_version', source_path='source.path', source_kind='source.source_kind', content_sha256='source.content_sha256', reviewed_git_revision='source.reviewed_git_revision', received_at='source.received_at', method='normalization.method', extractor_version='normalization.extractor_version')}, status, (SELECT count(*) FROM f WHERE f.record_id = q.record_id)::int AS n_findings FROM q",
+    "p3_findings": f"{_PACKET} SELECT record_id, finding_pos, finding_id, status, {_members('f', **_same('kind', 'concern_class', 'reviewer_severity', 'summary', 'required_proof_class', 'normalization_status', 'disposition_status', 'execution_status', 'verification_status'))} FROM f",
+    "p3_spans": f"{_PACKET}, {_each('s', 'f', 'record_id, status, finding_pos, finding_id', _SPANS, 'span_pos')} SELECT record_id, finding_pos, span_pos::int AS span_pos, finding_id, status, {_members('s_v', **_same('path', 'line_start', 'line_end', 'quote_sha256', 'heading'))} FROM s WHERE json_type(s_v) <> 'NULL'",
+    "p3_targets": f"{_PACKET}, {_each('s', 'f', 'record_id, status, finding_pos, finding_id', _TARGETS, 'target_pos')} SELECT record_id, finding_pos, target_pos::int AS target_pos, finding_id, status, {_members('s_v', surface='surface', target_id='id', note='note')} FROM s WHERE json_type(s_v) <> 'NULL'",
+    "p3_events": f"{_PACKET}, {_each('s', 'q', 'record_id, status', _EVENTS, 'event_pos')} SELECT record_id, event_pos::int AS event_pos, status, {_members('s_v', **_same('event_id', 'event_type', 'at', 'actor_class'))}, CASE WHEN json_type(s_v, '$.payload') = 'OBJECT' THEN json_extract_string(s_v, '$.payload.disposition') END AS disposition FROM s WHERE json_type(s_v) <> 'NULL'",
+    "p3_event_items": f"{_PACKET}, {_each('s', 'q', 'record_id', _EVENTS, 'event_pos')}, e AS (SELECT record_id, event_pos, unnest(['evidence_anchors', 'non_claims']) AS list, unnest([json_extract(s_v, '$.payload.evidence_anchors'), json_extract(s_v, '$.payload.non_claims')]) AS v FROM s WHERE json_type(s_v, '$.payload') = 'OBJECT'), {_each('i', 'e', 'record_id, event_pos, list', 'v', 'item_pos')} SELECT record_id, event_pos::int AS event_pos, list, item_pos::int AS item_pos, json_extract_string(i_v, '$') AS item FROM i WHERE json_type(i_v) <> 'NULL'",
+    "p3_edges": f"{_PACKET}, {_each('s', 'q', 'record_id, status', _EDGES_OF, 'edge_pos')} SELECT record_id, edge_pos::int AS edge_pos, status, {_members('s_v', edge_type='type', from_ref='from', to_ref='to', edge_status='status')} FROM s WHERE json_type(s_v) <> 'NULL'",
     "p2_found": f"WITH RECURSIVE e AS ({_EDGE}), reach AS (SELECT c, p FROM e UNION SELECT r.c, e.p FROM reach r JOIN e ON e.c = r.p) SELECT c AS item_id FROM reach WHERE c = p",
     "p2_nodes": f"""{_BELOW}, {_PATHS} SELECT n AS item_id, parent_id, root, path, depth, (SELECT count(*) FROM pairs WHERE a = n) AS n_descendants, false AS on_cycle FROM path UNION ALL SELECT n, '', '', '', -1, -1, true FROM cyc""",
     "p2_descendants": f"{_BELOW} SELECT a AS item_id, x AS descendant_id, k AS distance FROM pairs",
