@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import materialise, ship
 
 #: Letters of one shape, as Latin, Cyrillic, Greek ('-': none in that script).
 SHAPES = """AАΑ BВΒ CСϹ EЕΕ HНΗ IІΙ JЈ- KКΚ MМΜ N-Ν OОΟ PРΡ SЅ- TТΤ XХΧ YУΥ Z-Ζ QԚ- WԜ- VѴ- GԌ-
@@ -244,7 +244,7 @@ def _mixed_rows(keys: DataFrame, on: list[str]) -> DataFrame:
     rows they have, drop out before anything is joined."""
     spelling = F.struct("t1", "t2")
     mixed = keys.groupBy(*on).agg(F.min(spelling).alias("lo"), F.max(spelling).alias("hi")).filter("lo <> hi").select(*on)
-    return keys.join(mixed, on, "left_semi")
+    return materialise(keys.join(mixed, on, "left_semi"))  # few rows, read by several branches
 
 
 def lookalike_pairs(keys: DataFrame, by: list[str]) -> DataFrame:
