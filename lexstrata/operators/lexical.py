@@ -165,12 +165,19 @@ def morphology(token_rows: DataFrame, by: list[str]) -> DataFrame:
 
 def words(df: DataFrame, keys: list[str], text: str, classes: dict[str, list[str]]) -> DataFrame:
     """(keys, ord, kind, token, negated): the words of the classes as whole tokens, as morphology and unknown_forms find
-    them, without offsets. One pattern inside the engine; only the words found leave the text."""
+    them, without offsets; only the words found leave the text. Few words are looked for by one pattern."""
     some = "|".join(sorted((w for ws in classes.values() for w in ws), key=len, reverse=True))
-    pattern = rf"(?iu)(?<!\p{{L}})(?:не{SPACE}++)?(?:{some})(?!\p{{L}})"
-    hit = df.select(*keys, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))).alias("ord", "hit"))
-    token = F.lower(F.regexp_extract("hit", r"(\p{L}+)\z", 1))
-    return hit.select(*keys, "ord", token.alias("token"), F.col("hit").rlike(rf"(?iu)^не{SPACE}").alias("negated")).withColumn("kind", _lookup(F.col("token"), classes))
+    pattern = rf"(?<!\p{{L}})(?:не{SPACE}++)?(?:{some})(?!\p{{L}})"
+    hit = df.select(*keys, F.posexplode(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0))).alias("ord", "hit"))
+    token = F.regexp_extract("hit", r"(\p{L}+)\z", 1)
+    return hit.select(*keys, "ord", token.alias("token"), F.col("hit").rlike(rf"^не{SPACE}").alias("negated")).withColumn("kind", _lookup(F.col("token"), classes))
+
+
+def listed_words(df: DataFrame, keys: list[str], text: str, classes: dict[str, list[str]]) -> DataFrame:
+    """(keys, ord, kind, token) as ``words`` without negation, for long word lists: the text's tokens meet one hash set."""
+    all_tokens = F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))
+    found = F.filter(all_tokens, lambda t: t.isin([w for ws in classes.values() for w in ws]))
+    return df.select(*keys, F.posexplode(found).alias("ord", "token")).withColumn("kind", _lookup(F.col("token"), classes))
 
 
 def deontic(marker_rows: DataFrame) -> DataFrame:

@@ -99,7 +99,7 @@ def temporal_phrases(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _unknown(spark: SparkSession, d: str) -> DataFrame:
-    return L.words(table(spark, d, "article_texts"), ["article_id"], "text", V.UNKNOWN_FORMS).withColumn("fingerprint", hashing.fnv1a64(F.col("token")))
+    return L.listed_words(table(spark, d, "article_texts"), ["article_id"], "text", V.UNKNOWN_FORMS).withColumn("fingerprint", hashing.fnv1a64(F.col("token")))
 
 
 def unknown_census(spark: SparkSession, d: str) -> DataFrame:
