@@ -493,6 +493,8 @@ ORACLES: dict[str, str] = {
     "dependency_closure": f"""WITH RECURSIVE e AS (SELECT DISTINCT child, parent FROM {_REFINES}), reach AS (SELECT DISTINCT child AS seed, child AS n FROM e UNION SELECT r.seed, e.parent FROM reach r JOIN e ON e.child = r.n),
       known AS (SELECT child AS n FROM e UNION SELECT {_tid('id')} FROM valid_items WHERE {_tid('id')} IS NOT NULL), s AS (SELECT seed, count(*) AS k, bool_and(reach.n IN (SELECT n FROM known)) AS ok FROM reach GROUP BY 1),
       o AS (SELECT CASE WHEN k > 8 THEN 'unbounded' WHEN NOT ok THEN 'incomplete' ELSE 'complete' END AS outcome, k FROM s) SELECT outcome, count(*) AS n, coalesce(sum(k) FILTER (outcome = 'complete'), 0)::bigint AS affected FROM o GROUP BY 1""",
+    "edge_guards": f"""WITH e AS (SELECT id, min(child) AS c, min(parent) AS p FROM {_REFINES} GROUP BY id), g AS (SELECT CASE WHEN EXISTS (SELECT 1 FROM e b WHERE b.id < a.id AND b.c = a.c AND b.p = a.p) THEN 'duplicate'
+      WHEN EXISTS (SELECT 1 FROM e b WHERE b.id < a.id AND b.c = a.p AND b.p = a.c) THEN 'reverse' WHEN EXISTS (SELECT 1 FROM e b WHERE b.id < a.id AND b.c = a.c) THEN 'multiple_parents' ELSE '' END AS guard FROM e a) SELECT guard, count(*) AS n FROM g GROUP BY 1""",
     "forest_roots": f"SELECT DISTINCT parent AS node FROM {_REFINES} WHERE parent NOT IN (SELECT child FROM {_REFINES})",
     "registry_bindings": f"SELECT work_id, marker_level, trim(number, {_WS}) AS number, CASE WHEN count(DISTINCT coalesce(title, '')) = 1 THEN 'bound' ELSE 'conflict' END AS outcome FROM marker_bodies WHERE work_id IS NOT NULL AND number IS NOT NULL AND marker_level IS NOT NULL GROUP BY ALL",
     "write_set_counts": f"""WITH a AS (SELECT work_id, work_id || ':' || edition_number AS x, work_id || '/' || trim(number, {_WS}) AS c FROM article_texts WHERE number IS NOT NULL)
